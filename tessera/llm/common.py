@@ -54,7 +54,7 @@ atexit.register(drop_stored)
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size: file sizes for a scan. Costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
