@@ -31,7 +31,7 @@ from tessera.llm.common import spread, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 #: So many characters of different units have one suffix array.
 INDEX_CHARS = 1 << 20
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")

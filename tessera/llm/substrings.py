@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import NULL_ID, gram_hashes, input_bytes, mix64, runs, shuffle_partitions, spread, text_batches, text_bytes, word_bounds, word_hashes
 
 WINDOW, GRAM = 13, 5
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 6 << 20
 HASH_BYTES = 7
 _PIECES = "sub_doc long, sub_start int, sub_n int, sub_source long, sub_at int"
 
