@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, mixing, pieces, png, substrings
+from tessera.llm import chat, language, mixing, pieces, png, substrings, warc
+from tessera.llm.common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,15 +79,58 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(language.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stored(warc.write_archives(table(spark, sf_dir, "pages")))
+    out = warc.read_archives(archives, keep_payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+m AS (SELECT h, max(page_id) AS best FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to
+FROM d LEFT JOIN m ON m.h = d.h AND d.n >= 1000
+"""
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    out = chat.format_trees(chat.threads(turns.unionByName(probe)))
+    loss, back = chat.read_loss(F.col("formatted"), F.col("loss_spans")), chat.read_turns(F.col("formatted"))
+    lines = F.array_join(F.transform(back, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    out = out.withColumn("loss", loss)
+    return out.select(
+        "conv_id", F.size(back).cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP8_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -7, k, r, '{PROBE}', r, '{PROBE}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+l AS (SELECT *, length(regexp_replace(role, '{chat.ESCAPE}', '\1\\\2\3', 'g')) + length(regexp_replace(text, '{chat.ESCAPE}', '\1\\\2\3', 'g')) + {len(chat.START + chat.SEP + chat.END)} AS n FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '') AS loss, sum(n) AS formatted_chars
+      FROM l GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+"""
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, keep=False, digests=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op4_substring_dedup, op5_media_png, op6_language_id, op10_sentencepiece]
+    found = [op1_mix_sources, op4_substring_dedup, op5_media_png, op6_language_id, op7_warc_segments, op8_chat_trees, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op7_warc_segments": OP7_SQL, "op8_chat_trees": OP8_SQL}
