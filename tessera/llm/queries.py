@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, language, mixing, pieces, png, substrings, warc
+from tessera.llm import chat, language, lines, mixing, pieces, png, substrings, warc
 from tessera.llm.common import stored
 
 
@@ -122,15 +122,40 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+OP9_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS ln, string_split(text, chr(10))[i] AS line
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(i)),
+w AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
+k AS (SELECT *, array_to_string(w, ' ') AS k, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, ln) AS rn FROM w WHERE len(w) > 0),
+f AS (SELECT doc_id, ln, w, k, len(w) AS n, row_number() OVER (ORDER BY doc_id, ln) AS pos FROM k WHERE rn = 1 AND len(w) >= 8),
+v AS (SELECT pos, n, i, array_to_string(w[:i - 1], ' ') || chr(10) || array_to_string(w[i + 1:], ' ') AS s, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS d
+      FROM f, unnest(range(1, n + 1)) u(i)),
+r AS (SELECT s, n, i, min(pos) AS p FROM v GROUP BY ALL HAVING count(*) > 1),
+near AS (
+  SELECT v.pos FROM v JOIN r ON v.s = r.s AND v.n = r.n AND v.i = r.i AND r.p < v.pos
+  UNION SELECT greatest(v.pos, f.pos) FROM v JOIN f ON v.d = f.k AND f.n = v.n - 1),
+gone AS (SELECT doc_id, ln FROM k WHERE rn > 1 UNION SELECT doc_id, ln FROM f WHERE pos IN (SELECT pos FROM near)),
+o AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.ln) AS n_removed, string_agg(CASE WHEN gone.ln IS NULL THEN line END, chr(10) ORDER BY l.ln) AS kept
+      FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.ln = l.ln GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.n_removed, 0) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN o USING (doc_id)
+"""
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, keep=False, digests=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op4_substring_dedup, op5_media_png, op6_language_id, op7_warc_segments, op8_chat_trees, op10_sentencepiece]
+    found = [op1_mix_sources, op4_substring_dedup, op5_media_png, op6_language_id, op7_warc_segments, op8_chat_trees, op9_line_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op7_warc_segments": OP7_SQL, "op8_chat_trees": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op7_warc_segments": OP7_SQL, "op8_chat_trees": OP8_SQL, "op9_line_dedup": OP9_SQL}
