@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, language, lines, mixing, pieces, png, substrings, warc
+from tessera.llm import chat, language, lines, mixing, neardup, pieces, png, substrings, warc
 from tessera.llm.common import stored
 
 
@@ -49,6 +49,10 @@ FROM f LEFT JOIN n ON n.doc_id = f.doc_id AND n.served = f.served AND n.s = f.s
 """
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs, keep_text=False).drop("n_paths")
@@ -153,7 +157,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op4_substring_dedup, op5_media_png, op6_language_id, op7_warc_segments, op8_chat_trees, op9_line_dedup, op10_sentencepiece]
+    found = [op1_mix_sources, op3_minhash_near_dedup, op4_substring_dedup, op5_media_png, op6_language_id, op7_warc_segments, op8_chat_trees, op9_line_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
