@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, language, lines, mixing, neardup, pieces, png, substrings, warc
+from tessera.llm import chat, hamming, language, lines, mixing, neardup, pieces, png, substrings, warc
 from tessera.llm.common import stored
 
 
@@ -49,6 +49,19 @@ FROM f LEFT JOIN n ON n.doc_id = f.doc_id AND n.served = f.served AND n.s = f.s
 """
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return hamming.top_k(vectors, vectors.filter("id % 50 = 0")).withColumnRenamed("id", "vec_id")
+
+
+OP2_SQL = """
+WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, len([i FOR i IN range(1, 65) IF (q.embedding[i] > 0) <> (v.embedding[i] > 0)]) AS distance
+           FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 10
+"""
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -157,9 +170,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op3_minhash_near_dedup, op4_substring_dedup, op5_media_png, op6_language_id, op7_warc_segments, op8_chat_trees, op9_line_dedup, op10_sentencepiece]
+    found = [op1_mix_sources, op2_exact_top_k, op3_minhash_near_dedup, op4_substring_dedup, op5_media_png, op6_language_id, op7_warc_segments, op8_chat_trees, op9_line_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op7_warc_segments": OP7_SQL, "op8_chat_trees": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_warc_segments": OP7_SQL, "op8_chat_trees": OP8_SQL, "op9_line_dedup": OP9_SQL}
