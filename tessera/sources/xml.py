@@ -134,12 +134,17 @@ def _field(name: str) -> Callable[[Column], Column]:
     return lambda x: F.coalesce(x[name], F.array())
 
 
-def source_roots(docs: DataFrame) -> DataFrame:
-    """report_ord, roots: the normal roots of each document, in order, each once. '' stands for a root that
-    changes nothing; alone, it is left out."""
+def roots_of() -> Column:
+    """The normal roots of a document, in order, each once. '' stands for a root that changes nothing;
+    alone, it is left out."""
     texts = F.filter(_all("doc.sources", "source"), lambda t: F.length(F.trim(t)) > 0)
     roots = F.coalesce(F.array_distinct(F.transform(texts, normal_root)), F.array().cast("array<string>"))
-    return docs.select("report_ord", F.when((F.size(roots) == 1) & (roots[0] == ""), F.slice(roots, 1, 0)).otherwise(roots).alias("roots"))
+    return F.when((F.size(roots) == 1) & (roots[0] == ""), F.slice(roots, 1, 0)).otherwise(roots)
+
+
+def source_roots(docs: DataFrame) -> DataFrame:
+    """report_ord, roots."""
+    return docs.select("report_ord", roots_of().alias("roots"))
 
 
 def root_warnings(roots: DataFrame) -> DataFrame:
@@ -184,9 +189,7 @@ class Scan:
 
 def classes(docs: DataFrame) -> DataFrame:
     """report_ord, class_pos, path, class_name, c (the class) for each class with a file name."""
-    roots = source_roots(docs)
-    found = docs.select("report_ord", F.posexplode(_all("doc.packages", "package", "classes", "class")).alias("class_pos", "c"))
-    found = found.join(roots, "report_ord").filter("c._filename is not null")
+    found = docs.select("report_ord", roots_of().alias("roots"), F.posexplode(_all("doc.packages", "package", "classes", "class")).alias("class_pos", "c")).filter("c._filename is not null")
     return found.select("report_ord", "class_pos", file_key(F.col("c._filename"), F.col("roots")).alias("path"), F.coalesce("c._name", F.lit("")).alias("class_name"), "c")
 
 
