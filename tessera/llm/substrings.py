@@ -1,14 +1,16 @@
 """Removing repeated passages: a de Bruijn graph over words, compacted along document coordinates.
 
 Edges of the graph are k consecutive words (windows). An edge repeats if a document with a smaller id
-holds it too; the words under repeated edges go. The edges of 17 or so neighbouring words share their
-smallest 5-gram hash (their minimizer), so they are kept together as one stretch and sent to the bucket
-of that minimizer; equal edges meet in the same bucket. There repeated edges with neighbouring
-coordinates in both documents compact into one path piece; the pieces of a document are joined to it by
-doc_id, glued where one goes on in the other with the same source coordinates, and cut from the text.
-
-Scale: one shuffle of 7 bytes a window (a window's hash; 56 bits of it and its bucket tell windows apart),
-one of the pieces and one of the texts. Within a batch of texts only the smallest document of each edge
+holds it too; the words under repeated edges go. Neighbouring edges share their smallest 5-gram hash (their
+minimizer), so they are kept together as one stretch and sent to the bucket of that minimizer; equal edges
+meet in the same bucket. There repeated edges with neighbouring coordinates in both documents compact into
+one piece of a path; a document's pieces are glued to paths where one goes on in the next on both sides.
+Paths are joined to their documents and to their sources by doc_id, the words at both coordinates are
+compared by digest, and the verified paths are cut from the text. A path that fails is tried window by
+window, so a hash that two windows share removes nothing.
+
+Scale: one shuffle of 7 bytes a window (56 bits of its hash), one of the pieces, one of the texts, and of
+the paths' coordinates and digests. Within a batch of texts only the smallest document of each edge
 is sent, so a passage in a third of all documents reaches its bucket once a batch. Buckets are as many as
 the input has MB, at least twice the shuffle partitions.
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import NULL_ID, gram_hashes, input_bytes, mix64, runs, shuffle_partitions, spread, text_batches, text_bytes, word_bounds, word_hashes
+from tessera.llm.common import NULL_ID, gram_hashes, input_bytes, mix64, runs, shuffle_partitions, spread, stored, text_batches, text_bytes, word_bounds, word_hashes
 
 WINDOW, GRAM = 13, 5
 BATCH_BYTES = 6 << 20
@@ -168,53 +170,98 @@ def repeated_pieces(docs: DataFrame, k: int = WINDOW, gram: int = GRAM) -> DataF
     return sent.groupBy("sub_bucket").applyInArrow(_repeats, _PIECES)
 
 
+_PATHS = "array<struct<start:int,n:int,source:long,at:int>>"
+
+
+def _glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's pieces, sorted and joined to paths where one goes on in the next on both sides."""
+    for batch in batches:
+        out = []
+        for held in batch.column(1).to_pylist():
+            paths: list[dict] = []
+            for p in sorted(held, key=lambda p: p["start"]):
+                last = paths[-1] if paths else None
+                if last and (last["start"] + last["n"], last["source"], last["at"] + last["n"]) == (p["start"], p["source"], p["at"]):
+                    last["n"] += p["n"]
+                else:
+                    paths.append(p)
+            out.append(paths)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.column(1).type)], ["sub_doc", "sub_paths"])
+
+
+def repeated_paths(docs: DataFrame, k: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """sub_doc, sub_paths: the repeated paths of each document that has any."""
+    piece = F.struct(F.col("sub_start").alias("start"), F.col("sub_n").alias("n"), F.col("sub_source").alias("source"), F.col("sub_at").alias("at"))
+    found = repeated_pieces(docs, k, gram).groupBy("sub_doc").agg(F.collect_list(piece).alias("sub_paths"))
+    return found.mapInArrow(_glue, f"sub_doc long, sub_paths {_PATHS}")
+
+
+_OWN = "array<struct<start:int,n:int,source:long,at:int,words:binary>>"
+_SERVED = "array<struct<at:int,n:int,words:binary>>"
+
+
 def _cut(k: int, keep_text: bool):
+    """Cuts the paths' words out; gives the digests of the paths' words, and of those that others' paths start from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("sub_pieces")).to_pylist()
-            n_words, n_removed, sha, kept_text, paths = [], [], [], [], []
-            for t, held in zip(text, spans, strict=True):
+            text, paths, asked = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "sub_paths", "sub_asked"))
+            n_words, n_removed, sha, kept_text, own, served = [], [], [], [], [], []
+            for t, held, wanted in zip(text, paths, asked, strict=True):
                 words = t.encode().split() if t else []
+                digest = lambda a, n, words=words: hashlib.md5(b" ".join(words[a : a + n + k - 1])).digest()
                 n_words.append(len(words))
+                own.append([p | {"words": digest(p["start"], p["n"])} for p in held or ()])
+                served.append([p | {"words": digest(p["at"], p["n"])} for p in wanted or ()])
                 if held:
-                    held.sort(key=lambda x: x["sub_start"])
                     change = np.zeros(len(words) + 1, np.int32)
-                    glued, end = 0, None
                     for p in held:
-                        a, n = p["sub_start"], p["sub_n"]
-                        if a + n + k - 1 <= len(words):
+                        a, b = p["start"], p["start"] + p["n"] + k - 1
+                        if b <= len(words):
                             change[a] += 1
-                            change[a + n + k - 1] -= 1
-                            glued += end != (a, p["sub_source"], p["sub_at"])
-                            end = (a + n, p["sub_source"], p["sub_at"] + n)
-                    gone = np.cumsum(change)[:-1] > 0
-                    paths.append(glued)
-                    words = [words[i] for i in np.flatnonzero(~gone)]
-                else:
-                    paths.append(0)
+                            change[b] -= 1
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(change)[:-1] <= 0)]
                 n_removed.append(n_words[-1] - len(words))
                 kept = b" ".join(words)
                 sha.append(hashlib.sha256(kept).hexdigest())
                 if keep_text:
                     kept_text.append(kept.decode() if t is not None else None)
-            columns = {f: batch.column(i) for i, f in enumerate(batch.schema.names) if f != "sub_pieces"}
+            columns = {f: batch.column(i) for i, f in enumerate(batch.schema.names) if f not in ("sub_paths", "sub_asked")}
             if keep_text:
                 columns["text"] = pa.array(kept_text, pa.string())
             else:
                 columns.pop("text")
-            columns |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_paths": pa.array(paths, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            columns |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_paths": pa.array(map(len, own), pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            columns |= {"sub_own": pa.array(own, _OWN_ARROW), "sub_served": pa.array(served, _SERVED_ARROW)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
+_OWN_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("at", pa.int32()), ("words", pa.binary())]))
+_SERVED_ARROW = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("words", pa.binary())]))
+
+
 def remove_repeats(docs: DataFrame, k: int = WINDOW, gram: int = GRAM, keep_text: bool = True) -> DataFrame:
     """docs without the words under repeated windows of k words, and n_words, n_removed, n_paths (the
-    glued repeated paths) and kept_sha256. Kept words are joined by one space. Without keep_text, text is left out."""
-    found = repeated_pieces(docs, k, gram)
-    found = found.groupBy("sub_doc").agg(F.collect_list(F.struct("sub_start", "sub_n", "sub_source", "sub_at")).alias("sub_pieces"))
-    joined = docs.join(found, F.coalesce(docs.doc_id, F.lit(NULL_ID)) == found.sub_doc, "left").drop("sub_doc")
+    repeated paths) and kept_sha256. Kept words are joined by one space. Without keep_text, text is left out."""
+    paths = stored(repeated_paths(docs, k, gram))
     fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     new = [T.StructField(n, T.LongType()) for n in ("n_words", "n_removed", "n_paths")] + [T.StructField("kept_sha256", T.StringType())]
-    return joined.mapInArrow(_cut(k, keep_text), T.StructType(fields + new))
+    ddl = T.StructType(fields + new).add("sub_own", T.DataType.fromDDL(_OWN)).add("sub_served", T.DataType.fromDDL(_SERVED))
+    while True:
+        each = paths.select("sub_doc", F.explode("sub_paths").alias("p"))
+        asked = each.select(F.col("p.source").alias("sub_from"), "p.at", "p.n").distinct().groupBy("sub_from").agg(F.collect_list(F.struct("at", "n")).alias("sub_asked"))
+        key = F.coalesce(docs.doc_id, F.lit(NULL_ID))
+        joined = docs.join(paths, key == paths.sub_doc, "left").join(asked, key == asked.sub_from, "left").drop("sub_doc", "sub_from")
+        out = stored(joined.mapInArrow(_cut(k, keep_text), ddl))
+        # the words at the source's coordinates must be the path's own; a path that fails is tried window by window
+        mine = out.select(F.explode("sub_own").alias("p")).select("p.source", "p.at", "p.n", "p.words").distinct()
+        theirs = out.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("source"), F.explode("sub_served").alias("p")).select("source", "p.at", "p.n", "p.words")
+        wrong = stored(mine.join(theirs, ["source", "at", "n", "words"], "left_anti").select("source", "at", "n").distinct())
+        if wrong.isEmpty():
+            return out.drop("sub_own", "sub_served")
+        failed = each.join(wrong, (F.col("p.source") == wrong.source) & (F.col("p.at") == wrong.at) & (F.col("p.n") == wrong.n), "left").withColumn("bad", wrong.at.isNotNull())
+        single = F.transform(F.sequence(F.lit(0), F.col("p.n") - 1), lambda i: F.struct((F.col("p.start") + i).alias("start"), F.lit(1).alias("n"), F.col("p.source").alias("source"), (F.col("p.at") + i).alias("at")))
+        again = failed.filter(~F.col("bad")).select("sub_doc", "p").unionByName(failed.filter(F.col("bad") & (F.col("p.n") > 1)).select("sub_doc", F.explode(single).alias("p")))
+        paths = stored(again.groupBy("sub_doc").agg(F.collect_list("p").alias("sub_paths")))
