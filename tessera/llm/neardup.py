@@ -8,9 +8,10 @@ more are linked. Linked texts, and texts linked through others, are one class.
 
 Candidates of a band key are not paired with each other: each is compared with the key's smallest document
 (the leader). Distance (1 - similarity) obeys the triangle inequality, so a text too far from the leader
-can only be linked to those of the leader's texts that lie far enough from it; these few pairs are
-compared too, and the texts that the leader didn't take form the key's next round with a leader of their
-own. So no link that matters for the classes is lost, and the work is linear in a large group of copies.
+can only be linked to those of the leader's texts that lie far enough from it; these few pairs are compared
+too, and the texts that the leader didn't take form the key's next round, with four times as many leaders.
+So no link that matters for the classes is lost, the work is linear in a large group of copies, and rounds
+are a logarithm of the largest group. Pairs whose draws agree in less than LEAST_DRAWS are ruled out first.
 
 Document frequencies are counted over all documents in BINS hashed bins (frequent words keep their own
 counts; rare ones share bins), so the table has one size for any corpus.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, gram_hashes, mix64, runs, spread, stored, text_batches, text_bytes, word_bounds, word_hashes
@@ -38,6 +39,9 @@ from tessera.llm.common import NULL_ID, gram_hashes, mix64, runs, spread, stored
 SHINGLE, THRESHOLD = 5, 0.8
 #: 11 bands of 4: finds a pair of similarity 0.8 with probability 0.997, of 0.9 with 0.99999.
 BANDS, ROWS = 11, 4
+#: Pairs that agree in fewer of the 44 draws are not compared: one of similarity 0.6 does with probability
+#: 0.0004, one of 0.8 with 1e-11.
+LEAST_DRAWS = 15
 BINS, BLOCKS = 1 << 18, 64
 BATCH_BYTES = 4 << 20
 TABLE = 1 << 14
@@ -108,35 +112,38 @@ def sample_tables(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, c, rng.random((samples, TABLE), dtype=np.float32)
 
 
-def band_keys(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, tables: tuple, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Keys of the texts' bands, a row a text; texts without shingles get zeros.
+def draws(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, tables: tuple, n: int = BANDS * ROWS) -> np.ndarray:
+    """n draws a text, a row a text; texts without shingles get zeros.
 
     A draw: t = floor(ln w / r + beta), ln a = ln c - r (t - beta) - r; the shingle of the smallest a, with
     its t. A shingle's r, c and beta come from a table, at a place that its hash gives for this draw.
     """
-    texts = len(first) - 1
-    keys = np.zeros((texts, bands), np.uint64)
+    out = np.zeros((len(first) - 1, n), np.uint64)
     full = np.flatnonzero(np.diff(first))
     if not len(full):
-        return keys
+        return out
     heads, sizes = first[full], np.diff(first)[full]
     log_w = np.log(weights)
     group = np.repeat(np.arange(len(full)), sizes)
-    r_all, c_all, b_all = tables
-    drawn = np.zeros((bands, len(full)), np.uint64)
-    for k in range(bands * rows):
+    for k, (r_of, c_of, b_of) in enumerate(zip(*tables, strict=True)):
         salt = mix64(np.array([k + 1], np.uint64))[0] | _U(1)
         place = ((hashes * salt) >> _U(50)).astype(np.intp)
-        r, beta = r_all[k][place], b_all[k][place]
+        r, beta = r_of[place], b_of[place]
         t = np.floor(log_w / r + beta)
-        a = c_all[k][place] - r * (t - beta) - r
+        a = c_of[place] - r * (t - beta) - r
         low = np.minimum.reduceat(a, heads)
         hit = np.flatnonzero(a == low[group])
         who = group[hit]
         value = mix64(hashes[hit] ^ mix64(t[hit].astype(np.int64).astype(np.uint64)))
-        begin = runs(who)
-        drawn[k // rows] = mix64(drawn[k // rows] * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(value, begin) + _U(k))
-    keys[full] = drawn.T
+        out[full, k] = np.minimum.reduceat(value, runs(who))
+    return out
+
+
+def band_keys(drawn: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A key for each band of rows draws."""
+    keys = np.zeros((len(drawn), drawn.shape[1] // rows), np.uint64)
+    for k in range(drawn.shape[1]):
+        keys[:, k // rows] = mix64(keys[:, k // rows] * _U(0x9E3779B97F4A7C15) + drawn[:, k] + _U(k))
     return keys
 
 
@@ -152,21 +159,34 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(texts: DataFrame, idf) -> DataFrame:
-    """doc, band, key of the rows (doc, text) that have shingles. idf: a broadcast array."""
+    """doc, keys (of its bands) and draws (32 bits of each) of the rows (doc, text) that have shingles. idf: a broadcast array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sample_tables(BANDS * ROWS)
         for batch in text_batches(batches, "text", BATCH_BYTES):
             words, first = text_words(batch.column(1))
             hashes, weights, at = shingles(words, first, idf.value)
-            keys = band_keys(hashes, weights, at, tables)
             full = np.flatnonzero(np.diff(at))
+            drawn = draws(hashes, weights, at, tables)[full]
             docs = batch.column(0).to_numpy(zero_copy_only=False)[full]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(docs, BANDS), pa.int64()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(full))), pa.array(keys[full].ravel().view(np.int64))], ["doc", "band", "key"]
-            )
+            short = [row.tobytes() for row in drawn.astype("<u4")]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(list(band_keys(drawn).view(np.int64)), pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc", "keys", "draws"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, keys array<long>, draws binary")
 
-    return texts.select("doc", "text").mapInArrow(run, "doc long, band int, key long")
+
+def screened(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose draws agree in LEAST_DRAWS or more. marks: doc, draws."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in (2, 3))
+            good = pa.array((x == y).sum(axis=1) >= LEAST_DRAWS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+
+    one = marks.select(F.col("doc").alias("a"), F.col("draws").alias("draws_a"))
+    two = marks.select(F.col("doc").alias("b"), F.col("draws").alias("draws_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "draws_a", "draws_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -191,31 +211,36 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, sim double")
 
 
-def linked(members: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+def linked(members: DataFrame, marks: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
     """a, b of similar documents, enough to tell the classes, from members (doc, band, key) of shared keys."""
-    far = 1 - threshold
-    known, found = None, []
+    far, leaders, known = 1 - threshold, 1, None
+    order = Window.partitionBy("band", "key").orderBy("doc")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """known and these pairs, each once, with their similarity; 0 for pairs that the draws rule out."""
+        new = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        new = stored(new)
+        sims = new.join(verified(screened(new, marks), texts, idf), ["a", "b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+        return stored(sims if known is None else known.unionByName(sims))
+
     while True:
-        lead = members.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        rows = stored(members.join(lead, ["band", "key"]).filter("doc <> lead"))
+        first = members.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= leaders).select("band", "key", F.col("doc").alias("lead"))
+        rows = stored(members.join(first, ["band", "key"]).filter("doc > lead"))
         if rows.isEmpty():
             break
-        star = rows.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-        old = known
-        if old is not None:
-            star = star.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        new = stored(verified(star, texts, idf))
-        known = new if old is None else stored(old.unionByName(new))
-        far_from = rows.join(known.select(F.col("a").alias("lead"), F.col("b").alias("doc"), (1 - F.col("sim")).alias("d")), ["lead", "doc"])
-        far_from = stored(far_from.select("band", "key", "doc", "d"))
-        # a text between far and twice far from the leader may be linked to a text of the leader's
-        outer = far_from.filter((F.col("d") > far) & (F.col("d") <= 2 * far)).withColumnRenamed("doc", "y").withColumnRenamed("d", "dy")
-        inner = far_from.filter(F.col("d") <= far)
-        across = inner.join(outer, ["band", "key"]).filter(F.col("d") >= F.col("dy") - far)
-        across = across.select(F.least("doc", "y").alias("a"), F.greatest("doc", "y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = stored(known.unionByName(verified(across, texts, idf)))
-        members = far_from.filter(F.col("d") > far).select("doc", "band", "key")
-    return known.filter(F.col("sim") >= threshold).select("a", "b") if known is not None else rows.select(F.col("lead").alias("a"), F.col("doc").alias("b"))
+        known = compared(rows.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+        apart = known.select(F.col("a").alias("lead"), F.col("b").alias("doc"), (1 - F.col("sim")).alias("d"))
+        apart = stored(rows.join(apart, ["lead", "doc"]))
+        # a text between far and twice far from a leader may be linked to a text of that leader's
+        outer = apart.filter((F.col("d") > far) & (F.col("d") <= 2 * far)).withColumnRenamed("doc", "y").withColumnRenamed("d", "dy")
+        across = apart.filter(F.col("d") <= far).join(outer, ["band", "key", "lead"]).filter(F.col("d") >= F.col("dy") - far)
+        known = compared(across.select(F.least("doc", "y").alias("a"), F.greatest("doc", "y").alias("b")).distinct())
+        rest = apart.groupBy("band", "key", "doc").agg(F.min("d").alias("d")).filter(F.col("d") > far).drop("d")
+        members = rest.join(first.withColumnRenamed("lead", "doc"), ["band", "key", "doc"], "left_anti")
+        leaders *= 4
+    if known is None:
+        return rows.select(F.col("lead").alias("a"), F.col("doc").alias("b"))
+    return known.filter(F.col("sim") >= threshold).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,12 +273,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = stored(slim.join(equal.filter("n > 1").select("sha", "rep"), "sha").filter("doc <> rep").select("doc", "rep").distinct())
     frequencies, n = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(word_weights(frequencies, n))
-    keys = stored(signatures(keyed.filter("text is not null"), idf).join(copies, "doc", "left_anti").distinct())
+    marks = stored(signatures(keyed.filter("text is not null"), idf).join(copies, "doc", "left_anti").dropDuplicates(["doc"]))
+    keys = marks.select("doc", F.posexplode("keys").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(keys.join(shared, ["band", "key"], "left_semi"))
-    texts = keyed.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    texts = stored(texts)
-    links = linked(members, texts, idf, threshold)
+    asked = members.select("doc").distinct()
+    texts = stored(keyed.filter("text is not null").join(asked, "doc", "left_semi").dropDuplicates(["doc"]))
+    links = linked(members, marks.select("doc", "draws"), texts, idf, threshold)
     classes = components(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))))
     out = slim.select("doc").distinct().join(classes, "doc", "left")
     return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.nullif(F.coalesce("class_id", "doc"), F.lit(NULL_ID)).alias("class_id"))
