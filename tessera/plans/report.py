@@ -7,7 +7,8 @@ markdown page has to read anyway.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from tessera.operators import crap, diff, merge, rollup
 from tessera.sources import xml
 
-EMPTY_WARNINGS = "report_ord int, class_pos int, line_pos int, kind string, file string, line int, detail string"
-
 
 @dataclass(frozen=True)
 class Report:
@@ -56,13 +55,37 @@ class Report:
         return rollup.evaluate(rollup.report_rollup(self.files), min_line, min_branch)
 
 
+@contextmanager
+def cancellable(spark: SparkSession, group: str) -> Iterator[Callable[[], None]]:
+    """Runs what is inside as one job group; calling what it yields, from any thread, cancels it."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group, interruptOnCancel=True)
+    try:
+        yield lambda: context.cancelJobGroup(group)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def load(spark: SparkSession, files: list[str], max_chars: int = xml.MAX_CHARS) -> Report:
     """All documents merged, in the order given."""
-    docs = xml.parsed(xml.read_files(spark, files, max_chars)).persist()
+    return merged(spark, xml.read_files(spark, files, max_chars), len(files))
+
+
+def parse(spark: SparkSession, *texts: str, max_chars: int = xml.MAX_CHARS) -> Report:
+    """Documents given as text, merged in the order given."""
+    for t in texts:
+        if problem := xml.problem(t.encode(), max_chars):
+            raise xml.XmlError(problem)
+    return merged(spark, spark.createDataFrame(list(enumerate(texts, 1)), "report_ord int, xml string"), len(texts))
+
+
+def merged(spark: SparkSession, rows: DataFrame, count: int) -> Report:
+    """count rows (report_ord from 1, xml) as one report."""
+    docs = xml.parsed(rows.select("report_ord", "xml")).persist()
     scan = xml.scan(docs)
     found = merge.line_facts(scan.lines).persist()
     by_report = {r.report_ord: r.roots for r in scan.roots.collect()}
-    roots = [by_report.get(k, []) for k in range(1, len(files) + 1)]
+    roots = [by_report.get(k, []) for k in range(1, count + 1)]
     steps = spark.createDataFrame([(k + 1,) for k in merge.differing_steps(roots)], "report_ord int")
     lines = merge.merged_lines(found)
     seen = scan.files.groupBy("path").agg(F.min(F.struct("report_ord", "class_pos")).alias("doc_ord"))
@@ -71,7 +94,7 @@ def load(spark: SparkSession, files: list[str], max_chars: int = xml.MAX_CHARS)
     for phase, df in ((1, merge.total_warnings(found)), (1, merge.condition_warnings(found)), (2, merge.identity_warnings(scan.files, steps))):
         warnings = warnings.unionByName(place(df, phase))
     kept = tuple(dict.fromkeys(r for own in roots for r in own))
-    return Report(lines, rollup.file_rollup(lines, seen), warnings, kept, len(files))
+    return Report(lines, rollup.file_rollup(lines, seen), warnings, kept, count)
 
 
 def inputs(path: str, pattern: str = xml.PATTERN) -> list[str]:

@@ -260,3 +260,28 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/b.xml").write_text(document(cls("A.cs", [line(1, 4)])))
     ingest.merge_stream(*args).awaitTermination()
     assert {r.line: r.hits for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()} == {1: 4, 2: 3}
+
+
+def test_build_step(spark, tmp_path, monkeypatch):
+    from tessera.plans import build
+
+    monkeypatch.setenv("GITHUB_STEP_SUMMARY", str(tmp_path / "no/summary.md"))
+    told = []
+    with pytest.raises(build.BuildFailed, match="No files matching"):
+        build.report_coverage(spark, build.Config(folder=str(tmp_path / "none")))
+    (tmp_path / "coverage.cobertura.xml").write_text(document(cls("A.cs", [line(1, 1), line(2, 0)])))
+    build.report_coverage(spark, build.Config(folder=str(tmp_path), min_line="50", format="md"), told.append)
+    assert "✅" in told[0] and told[1].startswith("warning")
+    with pytest.raises(build.BuildFailed, match="FAIL: line 50.0%"):
+        build.report_coverage(spark, build.Config(folder=str(tmp_path)), told.append)
+    for bad in ({"min_line": "nan"}, {"exclude_generated": "yes"}, {"max_chars": "-1"}, {"format": "xml"}):
+        with pytest.raises(ValueError, match="Invalid"):
+            build.report_coverage(spark, build.Config(folder=str(tmp_path), **bad), told.append)
+
+
+def test_parse_text(spark):
+    with report.cancellable(spark, "parse") as cancel:
+        r = report.parse(spark, document(cls("A.cs", [line(1, 1)])), document(cls("A.cs", [line(2, 0)])))
+        assert (r.total.lines_hit, r.total.lines_total) == (1, 2) and callable(cancel)
+    with pytest.raises(xml.XmlError):
+        report.parse(spark, "<a>")
