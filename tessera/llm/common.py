@@ -37,10 +37,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored() -> None:
-    """Deletes the tables that stored() wrote; the results that read them are then gone."""
-    while _made:
-        spark, path = _made.pop()
+def stored_tables() -> list[tuple[SparkSession, str]]:
+    """The tables that stored() wrote and that still are there."""
+    return list(_made)
+
+
+def drop_stored(tables: list[tuple[SparkSession, str]] | None = None, keep: DataFrame | None = None) -> None:
+    """Deletes tables that stored() wrote (None: all) but for those that keep reads; the results that read
+    them are then gone."""
+    used = keep.inputFiles() if keep is not None else []
+    for spark, path in stored_tables() if tables is None else tables:
+        if (spark, path) not in _made or any(f"/{path.rpartition('/')[2]}/" in f for f in used):
+            continue
+        _made.remove((spark, path))
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
