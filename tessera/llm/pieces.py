@@ -3,8 +3,8 @@
 A batch's texts are split into units (white space marks and the word after them; no piece goes on over a
 word's end), and the batch's different units are joined to one text. Its suffix array, sorted up to the
 longest piece, is searched for every piece of the vocabulary; the occurrences are the edges, sorted by
-position. Relaxing follows the model's kind, byte-pair merges: in every unit the best edge that spans two
-neighbouring symbols (highest score, then leftmost) replaces them, until none does. What no piece covers
+position. Relaxing follows the model's kind, byte-pair merges: in every stretch that no edge leaves the best
+edge that spans two neighbouring symbols (highest score, then leftmost) replaces them, until none does. What no piece covers
 becomes byte pieces.
 
 Scale: rows stand alone, no shuffle; a task holds one batch of bounded bytes and the vocabulary. Units are
@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -34,6 +35,8 @@ MARK = "▁"
 BATCH_BYTES = 6 << 20
 #: So many characters of different units have one suffix array.
 INDEX_CHARS = 1 << 20
+#: Stretches of more characters are merged by a heap, the others side by side.
+LONG = 256
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -140,10 +143,52 @@ def edges(x: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return key >> 32, key & 0xFFFFFFFF
 
 
+def segments(starts: np.ndarray, total: int, key: np.ndarray) -> np.ndarray:
+    """Where stretches start that no piece goes across, units' starts among them: merges stay within."""
+    size, at = key & 31, key >> 5
+    change = np.bincount(at[size > 1] + 1, minlength=total + 1) - np.bincount((at + size)[size > 1], minlength=total + 1)
+    free = np.cumsum(change)[:total] == 0
+    free[starts] = True
+    return np.flatnonzero(free)
+
+
+def relax_long(begin: int, end: int, key: np.ndarray, rank: np.ndarray) -> tuple[list[int], list[int]]:
+    """The same merges for one long stretch, by a heap: a merge costs a logarithm of the stretch."""
+    after, before, alive = list(range(1, end - begin + 1)), list(range(-1, end - begin - 1)), [True] * (end - begin)
+    heap: list[tuple[int, int, int]] = []
+    n = end - begin
+
+    def offer(left: int) -> None:
+        right = after[left]
+        if right < n and after[right] - left < 32:
+            k = (begin + left) * 32 + after[right] - left
+            i = int(np.searchsorted(key, k))
+            if i < len(key) and key[i] == k:
+                heappush(heap, (int(rank[i]), left, after[right]))
+
+    for left in range(n - 1):
+        offer(left)
+    while heap:
+        _, left, to = heappop(heap)
+        right = after[left] if alive[left] else n
+        if right >= n or after[right] != to:
+            continue
+        alive[right], after[left] = False, to
+        if to < n:
+            before[to] = left
+        offer(left)
+        if before[left] >= 0:
+            offer(before[left])
+    kept = [x for x in range(n) if alive[x]]
+    return [begin + x for x in kept], [begin + after[x] for x in kept]
+
+
 def relax(starts: np.ndarray, ends: np.ndarray, key: np.ndarray, ids: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Merges within each unit (starts to ends): the positions where the final symbols begin and end."""
     total = int(ends[-1]) if len(ends) else 0
-    unit = np.repeat(np.arange(len(starts)), ends - starts)
+    heads = segments(starts, total, key)
+    sizes = np.diff(np.append(heads, total))
+    unit = np.repeat(np.arange(len(heads)), sizes)
     at = np.arange(total)
     to = at + 1
     worst = np.iinfo(np.int64).max
@@ -158,7 +203,12 @@ def relax(starts: np.ndarray, ends: np.ndarray, key: np.ndarray, ids: np.ndarray
         return np.where(hit, rank[i] * wide + a, worst) if len(key) else np.full(len(a), worst)
 
     done: list[tuple[np.ndarray, np.ndarray]] = []
-    pair = np.full(total, worst)
+    for k in np.flatnonzero(sizes > LONG):
+        a, b = relax_long(int(heads[k]), int(heads[k] + sizes[k]), key, rank)
+        done.append((np.array(a), np.array(b)))
+    short = np.repeat(sizes <= LONG, sizes)
+    at, to, unit = at[short], to[short], unit[short]
+    pair = np.full(len(at), worst)
     same = np.flatnonzero(unit[1:] == unit[:-1])
     pair[same] = score(at[same], to[same + 1])
     while len(at):
