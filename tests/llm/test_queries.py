@@ -14,9 +14,16 @@ from tessera.llm import language, lines, mixing, neardup, pieces, png, queries
 SF = "/root/testdata/sf0.001"
 
 
+def shown(v):
+    """A value as text; whole numbers alike, whether pandas holds them as integers or, beside NULLs, as floats."""
+    if v is None or v != v:
+        return "NULL"
+    return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+
 def normal(df):
-    df = df[sorted(df.columns)]
-    return sorted(tuple("NULL" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in row) for row in df.astype(object).where(df.notna(), None).values.tolist())
+    df = df[sorted(df.columns)].astype(object)
+    return sorted(tuple(map(shown, row)) for row in df.where(df.notna(), None).values.tolist())
 
 
 @pytest.fixture(scope="module")
