@@ -7,11 +7,13 @@ all draws of a band are candidates; their similarity is then computed exactly, a
 more are linked. Linked texts, and texts linked through others, are one class.
 
 Candidates of a band key are not paired with each other: each is compared with the key's smallest document
-(the leader). Distance (1 - similarity) obeys the triangle inequality, so a text too far from the leader
-can only be linked to those of the leader's texts that lie far enough from it; these few pairs are compared
-too, and the texts that the leader didn't take form the key's next round, with four times as many leaders.
-So no link that matters for the classes is lost, the work is linear in a large group of copies, and rounds
-are a logarithm of the largest group. Pairs whose draws agree in less than LEAST_DRAWS are ruled out first.
+(the leader); the texts that it didn't take form the key's next round, with eight times as many leaders.
+Distance (1 - similarity) obeys the triangle inequality, so a text that a leader didn't take can be linked
+to that leader's texts only if it is less than twice the allowed distance away; where it is not in their
+class already, it is compared with more and more of them, the farthest from the leader first, until it is
+or none is left. So no link that matters for the classes is lost, the work is linear in a large group of
+copies, and rounds are a logarithm of the largest group. Pairs whose draws agree in less than LEAST_DRAWS
+are ruled out first.
 
 Document frequencies are counted over all documents in BINS hashed bins (frequent words keep their own
 counts; rare ones share bins), so the table has one size for any corpus.
@@ -211,17 +213,17 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, sim double")
 
 
-def linked(members: DataFrame, marks: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b of similar documents, enough to tell the classes, from members (doc, band, key) of shared keys."""
-    far, leaders, known = 1 - threshold, 1, None
+def similar_classes(members: DataFrame, marks: DataFrame, texts: DataFrame, idf, copies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc, class_id of all documents linked to another, by copies (a, b) or as similar members (doc, band, key) of a key."""
+    far, leaders = 1 - threshold, 1
     order = Window.partitionBy("band", "key").orderBy("doc")
+    known = texts.sparkSession.range(0).selectExpr("id AS a", "id AS b", "CAST(NULL AS DOUBLE) AS sim")
+    apart = None
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """known and these pairs, each once, with their similarity; 0 for pairs that the draws rule out."""
-        new = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = stored(new)
-        sims = new.join(verified(screened(new, marks), texts, idf), ["a", "b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-        return stored(sims if known is None else known.unionByName(sims))
+        """known and these pairs, each once, with their similarity; pairs that the draws rule out are left out."""
+        new = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        return known.unionByName(stored(verified(screened(new, marks), texts, idf)))
 
     while True:
         first = members.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= leaders).select("band", "key", F.col("doc").alias("lead"))
@@ -229,18 +231,32 @@ def linked(members: DataFrame, marks: DataFrame, texts: DataFrame, idf, threshol
         if rows.isEmpty():
             break
         known = compared(rows.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
-        apart = known.select(F.col("a").alias("lead"), F.col("b").alias("doc"), (1 - F.col("sim")).alias("d"))
-        apart = stored(rows.join(apart, ["lead", "doc"]))
-        # a text between far and twice far from a leader may be linked to a text of that leader's
+        found = known.select(F.col("a").alias("lead"), F.col("b").alias("doc"), (1 - F.col("sim")).alias("d"))
+        here = stored(rows.join(found, ["lead", "doc"], "left").withColumn("d", F.coalesce("d", F.lit(1.0))))
+        apart = here if apart is None else apart.unionByName(here)
+        rest = here.groupBy("band", "key", "doc").agg(F.min("d").alias("d")).filter(F.col("d") > far).drop("d")
+        members = rest.join(first.withColumnRenamed("lead", "doc"), ["band", "key", "doc"], "left_anti")
+        leaders *= 8
+
+    tries, most = 8, None
+    while True:
+        classes = components(known.filter(F.col("sim") >= threshold).select("a", "b").unionByName(copies))
+        if apart is None or (most is not None and tries >= 8 * most):
+            return classes
+        # a text between far and twice far from a leader may be linked to one of that leader's texts, if it is not in its class already
+        label = lambda c: classes.select(F.col("doc").alias(c), F.col("class_id").alias(f"{c}_class"))
         outer = apart.filter((F.col("d") > far) & (F.col("d") <= 2 * far)).withColumnRenamed("doc", "y").withColumnRenamed("d", "dy")
-        across = apart.filter(F.col("d") <= far).join(outer, ["band", "key", "lead"]).filter(F.col("d") >= F.col("dy") - far)
+        outer = outer.join(label("y"), "y", "left").join(label("lead"), "lead", "left")
+        outer = stored(outer.filter(F.coalesce("y_class", "y") != F.coalesce("lead_class", "lead")).select("band", "key", "lead", "y", "dy"))
+        inner = apart.filter(F.col("d") <= far).join(outer.select("band", "key", "lead").distinct(), ["band", "key", "lead"], "left_semi")
+        most = inner.groupBy("band", "key", "lead").count().agg(F.max("count")).first()[0]
+        if most is None:
+            return classes
+        farthest = Window.partitionBy("band", "key", "lead").orderBy(F.desc("d"), "doc")
+        inner = inner.withColumn("n", F.row_number().over(farthest)).filter(F.col("n") <= tries).drop("n")
+        across = inner.join(outer, ["band", "key", "lead"]).filter(F.col("d") >= F.col("dy") - far)
         known = compared(across.select(F.least("doc", "y").alias("a"), F.greatest("doc", "y").alias("b")).distinct())
-        rest = apart.groupBy("band", "key", "doc").agg(F.min("d").alias("d")).filter(F.col("d") > far).drop("d")
-        members = rest.join(first.withColumnRenamed("lead", "doc"), ["band", "key", "doc"], "left_anti")
-        leaders *= 4
-    if known is None:
-        return rows.select(F.col("lead").alias("a"), F.col("doc").alias("b"))
-    return known.filter(F.col("sim") >= threshold).select("a", "b")
+        tries *= 8
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,18 +266,18 @@ def components(links: DataFrame) -> DataFrame:
     smallest, until the links are stars: a logarithmic number of rounds, with groups pre-aggregated to a minimum.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = stored(small.filter("u <> v").distinct())
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        edges = after
-        if same:
+        edges = stored(small.filter("u <> v").distinct())
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == state:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("class_id")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("class_id")).distinct())
+        state = now
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -279,8 +295,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = stored(keys.join(shared, ["band", "key"], "left_semi"))
     asked = members.select("doc").distinct()
     texts = stored(keyed.filter("text is not null").join(asked, "doc", "left_semi").dropDuplicates(["doc"]))
-    links = linked(members, marks.select("doc", "draws"), texts, idf, threshold)
-    classes = components(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))))
+    same = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    classes = similar_classes(members, marks.select("doc", "draws"), texts, idf, same, threshold)
     out = slim.select("doc").distinct().join(classes, "doc", "left")
     return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.nullif(F.coalesce("class_id", "doc"), F.lit(NULL_ID)).alias("class_id"))
 
