@@ -173,13 +173,26 @@ SELECT b.first AS report_ord, 'FileIdentityAmbiguous' AS kind, a.path AS file, 0
 '''' || a.path || ''' and ''' || b.path || ''' share a file name under different source roots - if they are the same file, its coverage is double-counted in the merged totals' AS detail
 FROM k a JOIN k b ON a.name = b.name AND a.first < b.first AND b.first = 3 WHERE a.path NOT IN (SELECT path FROM f WHERE report_ord = 3)""")
 def warn_identity(spark, sf_dir):
-    files = facts.raw(spark, sf_dir).filter(F.col("path").like("%1/F%") | F.col("path").like("%3.cs"))
+    return _identity(spark, facts.raw(spark, sf_dir).filter(F.col("path").like("%1/F%") | F.col("path").like("%3.cs")))
+
+
+def _identity(spark, rows):
     root = F.when(F.col("report_ord") == 3, F.lit("/ci/b/")).otherwise(F.lit("/ci/a/"))
-    files = files.select("report_ord", F.concat(root, "path").alias("path")).distinct()
+    files = rows.select("report_ord", F.concat(root, "path").alias("path")).distinct()
     steps = spark.createDataFrame([(k + 1,) for k in merge.differing_steps(_ROOTS)], "report_ord int")
     return merge.identity_warnings(files, steps)
 
 
+@query(f"""WITH {facts.RAW}, f AS (SELECT DISTINCT report_ord, CASE WHEN report_ord = 3 THEN '/ci/b/' ELSE '/ci/a/' END || path AS path FROM raw),
+k AS (SELECT path, min(report_ord) AS first, split_part(path, '/', -1) AS name FROM f GROUP BY path)
+SELECT b.first AS report_ord, 'FileIdentityAmbiguous' AS kind, a.path AS file, 0 AS line,
+'''' || a.path || ''' and ''' || b.path || ''' share a file name under different source roots - if they are the same file, its coverage is double-counted in the merged totals' AS detail
+FROM k a JOIN k b ON a.name = b.name AND a.first < b.first AND b.first = 3 WHERE a.path NOT IN (SELECT path FROM f WHERE report_ord = 3)""")
+def warn_identity_all(spark, sf_dir):
+    """warn_identity over every path of the three reports."""
+    return _identity(spark, facts.raw(spark, sf_dir))
+
+
 # differences
 
 
