@@ -5,9 +5,10 @@ holds it too; the words under repeated edges go. Neighbouring edges share their
 minimizer), so they are kept together as one stretch and sent to the bucket of that minimizer; equal edges
 meet in the same bucket. There repeated edges with neighbouring coordinates in both documents compact into
 one piece of a path; a document's pieces are glued to paths where one goes on in the next on both sides.
-Paths are joined to their documents and to their sources by doc_id, the words at both coordinates are
-compared by digest, and the verified paths are cut from the text. A path that fails is tried window by
-window, so a hash that two windows share removes nothing.
+Paths are joined to their documents and to their sources by doc_id and a hash of the text, the words at both
+coordinates are compared by digest, and the verified paths are cut from the text. The windows of a path that
+fails are sought again in all documents by digests of their words, so a hash that two windows share neither
+removes nor saves anything.
 
 Scale: one shuffle of 7 bytes a window (56 bits of its hash), one of the pieces, one of the texts, and of
 the paths' coordinates and digests. Within a batch of texts only the smallest document of each edge
@@ -15,8 +16,8 @@ is sent, so a passage in a third of all documents reaches its bucket once a batc
 the input has MB, at least twice the shuffle partitions.
 
 Defined cases: a null text has no words; a null doc_id is above all others; texts under k words lose
-nothing; equal doc_ids are not smaller than each other; rows of one doc_id share their removals, so their
-texts should be equal; an empty table gives an empty result; other columns stay.
+nothing; equal doc_ids, and so null ones, are not smaller than each other; rows that repeat a doc_id have
+removals of their own unless their texts are equal too; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from tessera.llm.common import NULL_ID, gram_hashes, input_bytes, mix64, runs, s
 WINDOW, GRAM = 13, 5
 BATCH_BYTES = 6 << 20
 HASH_BYTES = 7
-_PIECES = "sub_doc long, sub_start int, sub_n int, sub_source long, sub_at int"
+_PIECES = "sub_doc long, sub_row long, sub_start int, sub_n int, sub_source long, sub_from long, sub_at int"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -78,42 +79,46 @@ def windows(texts: pa.Array, k: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return gram_hashes(words, k)[at], lows[at], text, (at - first[text]).astype(np.int32)
 
 
-def first_holder(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the smallest document that holds it, and where it first starts there."""
+def first_holder(hashes: np.ndarray, docs: np.ndarray, rows: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window the smallest document that holds it (of equal doc_ids the smallest row), and where it first starts there."""
     order = np.argsort(hashes, kind="stable")
     heads = runs(hashes[order])
     sizes = np.diff(np.append(heads, len(order)))
-    low = np.repeat(np.minimum.reduceat(docs[order], heads), sizes)
-    place = np.where(docs[order] == low, pos[order], np.iinfo(np.int32).max)
-    at = np.repeat(np.minimum.reduceat(place, heads), sizes)
-    holder, where = np.empty_like(docs), np.empty_like(pos)
-    holder[order], where[order] = low, at
-    return holder, where
-
-
-def pieces(docs: np.ndarray, pos: np.ndarray, holder: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
+    least, lows = np.ones(len(order), bool), []
+    for x in (docs, rows, pos):
+        x = x[order]
+        lows.append(np.repeat(np.minimum.reduceat(np.where(least, x, np.iinfo(x.dtype).max), heads), sizes))
+        least &= x == lows[-1]
+    out = [np.empty_like(x) for x in (docs, rows, pos)]
+    for x, low in zip(out, lows, strict=True):
+        x[order] = low
+    return out[0], out[1], out[2]
+
+
+def pieces(docs: np.ndarray, rows: np.ndarray, pos: np.ndarray, holder: np.ndarray, held: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
     """Repeated windows in the order of their texts, compacted where both coordinates go on by one."""
     if not len(docs):
-        return [docs, pos, pos, holder, where]
-    cut = (docs[1:] != docs[:-1]) | (pos[1:] != pos[:-1] + 1) | (holder[1:] != holder[:-1]) | (where[1:] != where[:-1] + 1)
+        return [docs, rows, pos, pos, holder, held, where]
+    cut = (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1]) | (pos[1:] != pos[:-1] + 1) | (holder[1:] != holder[:-1]) | (held[1:] != held[:-1]) | (where[1:] != where[:-1] + 1)
     heads = np.flatnonzero(np.concatenate(([True], cut)))
     n = np.diff(np.append(heads, len(docs))).astype(np.int32)
-    return [docs[heads], pos[heads], n, holder[heads], where[heads]]
+    return [docs[heads], rows[heads], pos[heads], n, holder[heads], held[heads], where[heads]]
 
 
-def _edges(buckets: int, k: int, gram: int):
+def _edges(buckets: int, k: int, gram: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text", BATCH_BYTES):
-            ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            hashes, lows, text, pos = windows(batch.column(1), k, gram)
+            ids = batch.column(0).to_numpy()
+            hashes, lows, text, pos = windows(batch.column(2), k, gram)
             if not len(hashes):
                 continue
-            docs = ids[text]
-            holder, where = first_holder(hashes, docs, pos)
+            hashes &= np.uint64(2 ** (8 * width) - 1)
+            docs, rows = ids[text], batch.column(1).to_numpy()[text]
+            holder, held, where = first_holder(hashes, docs, rows, pos)
             again = holder < docs
             out: tuple[list, list, list] = ([], [], [])
             if again.any():
-                found = pieces(docs[again], pos[again], holder[again], where[again])
+                found = pieces(*(x[again] for x in (docs, rows, pos, holder, held, where)))
                 out[0].append(int(docs[0] % buckets))
                 out[1].append(True)
                 out[2].append(pack(*found))
@@ -124,12 +129,12 @@ def _edges(buckets: int, k: int, gram: int):
             cut = (bucket[1:] != bucket[:-1]) | (sent[1:] != sent[:-1] + 1) | (text[sent[1:]] != text[sent[:-1]])
             heads = np.flatnonzero(np.concatenate(([True], cut)))
             lengths = np.diff(np.append(heads, len(sent))).astype(np.int32)
-            raw = hashes[sent].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+            raw = hashes[sent].view(np.uint8).reshape(-1, 8)[:, :width]
             parts = np.append(runs(bucket), len(sent))
             at = np.searchsorted(heads, parts)
             for i in range(len(parts) - 1):
                 h = heads[at[i] : at[i + 1]]
-                meta = pack(docs[sent[h]], pos[sent[h]], lengths[at[i] : at[i + 1]])
+                meta = pack(docs[sent[h]], rows[sent[h]], pos[sent[h]], lengths[at[i] : at[i + 1]])
                 out[0].append(int(bucket[parts[i]]))
                 out[1].append(False)
                 out[2].append(struct.pack("<q", len(meta)) + meta + raw[parts[i] : parts[i + 1]].tobytes())
@@ -138,65 +143,74 @@ def _edges(buckets: int, k: int, gram: int):
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
+def _repeats(width: int):
     """One bucket: passes found pieces on, and finds the windows that repeat between batches."""
-    done, stretches, raws = [], [], []
-    for found, blob in zip(table.column("sub_found").to_pylist(), table.column("sub_blob"), strict=True):
-        blob = blob.as_py()
-        if found:
-            done.append(unpack(blob, "<i8", "<i4", "<i4", "<i8", "<i4"))
-        else:
-            size = struct.unpack_from("<q", blob)[0]
-            stretches.append(unpack(blob[8 : 8 + size], "<i8", "<i4", "<i4"))
-            raws.append(np.frombuffer(blob, np.uint8, offset=8 + size).reshape(-1, HASH_BYTES))
-    if raws:
-        docs, pos, lengths = (np.concatenate(x) for x in zip(*stretches, strict=True))
-        hashes = np.zeros((int(lengths.sum()), 8), np.uint8)
-        hashes[:, :HASH_BYTES] = np.concatenate(raws)
-        docs, pos = np.repeat(docs, lengths), spread(pos, lengths).astype(np.int32)
-        holder, where = first_holder(hashes.view(np.uint64)[:, 0], docs, pos)
-        again = holder < docs
-        done.append(pieces(docs[again], pos[again], holder[again], where[again]))
-    columns = [np.concatenate(x) for x in zip(*done, strict=True)]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["sub_doc", "sub_start", "sub_n", "sub_source", "sub_at"])
+
+    def run(table: pa.Table) -> pa.Table:
+        done, stretches, raws = [], [], []
+        for found, blob in zip(table.column("sub_found").to_pylist(), table.column("sub_blob"), strict=True):
+            blob = blob.as_py()
+            if found:
+                done.append(unpack(blob, "<i8", "<i8", "<i4", "<i4", "<i8", "<i8", "<i4"))
+            else:
+                size = struct.unpack_from("<q", blob)[0]
+                stretches.append(unpack(blob[8 : 8 + size], "<i8", "<i8", "<i4", "<i4"))
+                raws.append(np.frombuffer(blob, np.uint8, offset=8 + size).reshape(-1, width))
+        if raws:
+            docs, rows, pos, lengths = (np.concatenate(x) for x in zip(*stretches, strict=True))
+            hashes = np.zeros((int(lengths.sum()), 8), np.uint8)
+            hashes[:, :width] = np.concatenate(raws)
+            docs, rows, pos = np.repeat(docs, lengths), np.repeat(rows, lengths), spread(pos, lengths).astype(np.int32)
+            holder, held, where = first_holder(hashes.view(np.uint64)[:, 0], docs, rows, pos)
+            again = holder < docs
+            done.append(pieces(*(x[again] for x in (docs, rows, pos, holder, held, where))))
+        columns = [np.concatenate(x) for x in zip(*done, strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["sub_doc", "sub_row", "sub_start", "sub_n", "sub_source", "sub_from", "sub_at"])
+
+    return run
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with sub_doc, its doc_id or NULL_ID, and sub_row, which tells rows of one doc_id apart by their texts."""
+    return docs.withColumns({"sub_doc": F.coalesce("doc_id", F.lit(NULL_ID)), "sub_row": F.xxhash64("text")})
 
 
 def repeated_pieces(docs: DataFrame, k: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """sub_doc, sub_start, sub_n: from word sub_start on, sub_n windows of the document also start, one
-    word apart from sub_at on, in the document sub_source, the smallest that holds them."""
+    """sub_doc, sub_row, sub_start, sub_n: from word sub_start on, sub_n windows of the document also start, one
+    word apart from sub_at on, in the document sub_source (its row sub_from), the smallest that holds them."""
     buckets = max(2 * shuffle_partitions(docs.sparkSession), input_bytes(docs) >> 20)
-    sent = docs.select("doc_id", "text").mapInArrow(_edges(buckets, k, gram), "sub_bucket int, sub_found boolean, sub_blob binary")
-    return sent.groupBy("sub_bucket").applyInArrow(_repeats, _PIECES)
+    sent = row_keys(docs).select("sub_doc", "sub_row", "text").mapInArrow(_edges(buckets, k, gram, HASH_BYTES), "sub_bucket int, sub_found boolean, sub_blob binary")
+    return sent.groupBy("sub_bucket").applyInArrow(_repeats(HASH_BYTES), _PIECES)
 
 
-_PATHS = "array<struct<start:int,n:int,source:long,at:int>>"
+_PATHS = "array<struct<start:int,n:int,source:long,from:long,at:int>>"
 
 
 def _glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's pieces, sorted and joined to paths where one goes on in the next on both sides."""
     for batch in batches:
         out = []
-        for held in batch.column(1).to_pylist():
+        for held in batch.column(2).to_pylist():
             paths: list[dict] = []
             for p in sorted(held, key=lambda p: p["start"]):
                 last = paths[-1] if paths else None
-                if last and (last["start"] + last["n"], last["source"], last["at"] + last["n"]) == (p["start"], p["source"], p["at"]):
+                if last and (last["start"] + last["n"], last["source"], last["from"], last["at"] + last["n"]) == (p["start"], p["source"], p["from"], p["at"]):
                     last["n"] += p["n"]
                 else:
                     paths.append(p)
             out.append(paths)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.column(1).type)], ["sub_doc", "sub_paths"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(2).type)], ["sub_doc", "sub_row", "sub_paths"])
 
 
 def repeated_paths(docs: DataFrame, k: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """sub_doc, sub_paths: the repeated paths of each document that has any."""
-    piece = F.struct(F.col("sub_start").alias("start"), F.col("sub_n").alias("n"), F.col("sub_source").alias("source"), F.col("sub_at").alias("at"))
-    found = repeated_pieces(docs, k, gram).groupBy("sub_doc").agg(F.collect_list(piece).alias("sub_paths"))
-    return found.mapInArrow(_glue, f"sub_doc long, sub_paths {_PATHS}")
+    """sub_doc, sub_row, sub_paths: the repeated paths of each document that has any."""
+    piece = F.struct(F.col("sub_start").alias("start"), F.col("sub_n").alias("n"), F.col("sub_source").alias("source"), F.col("sub_from").alias("from"), F.col("sub_at").alias("at"))
+    found = repeated_pieces(docs, k, gram).groupBy("sub_doc", "sub_row").agg(F.collect_set(piece).alias("sub_paths"))
+    return found.mapInArrow(_glue, f"sub_doc long, sub_row long, sub_paths {_PATHS}")
 
 
-_OWN = "array<struct<start:int,n:int,source:long,at:int,words:binary>>"
+_OWN = "array<struct<start:int,n:int,source:long,from:long,at:int,words:binary>>"
 _SERVED = "array<struct<at:int,n:int,words:binary>>"
 
 
@@ -238,30 +252,87 @@ def _cut(k: int, keep_text: bool):
     return run
 
 
-_OWN_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("at", pa.int32()), ("words", pa.binary())]))
+_OWN_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("from", pa.int64()), ("at", pa.int32()), ("words", pa.binary())]))
 _SERVED_ARROW = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("words", pa.binary())]))
 
 
+def _lost(k: int):
+    """For each window of the rows' paths: where it starts, its hash and the digest of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text", BATCH_BYTES):
+            text, paths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            doc, start, digest, hashes = [], [], [], []
+            for i, (t, held) in enumerate(zip(text, paths, strict=True)):
+                words = t.encode().split()
+                every = sorted({a for p in held for a in range(p["start"], p["start"] + p["n"]) if a + k <= len(words)})
+                doc += [i] * len(every)
+                start += every
+                digest += [hashlib.md5(b" ".join(words[a : a + k])).digest() for a in every]
+                hashes.append(windows(pa.array([t]), k, k)[0][every])
+            found = np.concatenate(hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(start, pa.int32()), pa.array(found), pa.array(digest, pa.binary())], ["sub_doc", "sub_row", "start", "hash", "words"])
+
+    return run
+
+
+def _holders(k: int, wanted):
+    """Where windows of the wanted hashes first start in each text, by the digests of their words. wanted: a sorted broadcast array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text", BATCH_BYTES):
+            hashes, _, text, pos = windows(batch.column(2), k, k)
+            place = np.minimum(np.searchsorted(wanted.value, hashes), len(wanted.value) - 1)
+            first: dict[tuple[int, bytes], int] = {}
+            last, words = -1, []
+            for h in np.flatnonzero(wanted.value[place] == hashes):
+                if text[h] != last:
+                    last = int(text[h])
+                    words = batch.column(2)[last].as_py().encode().split()
+                first.setdefault((last, hashlib.md5(b" ".join(words[pos[h] : pos[h] + k])).digest()), int(pos[h]))
+            doc = pa.array([i for i, _ in first], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(first.values(), pa.int32()), pa.array([d for _, d in first], pa.binary())], ["source", "from", "at", "words"])
+
+    return run
+
+
+def sought(docs: DataFrame, failed: DataFrame, k: int) -> DataFrame:
+    """sub_doc, sub_row, p: the windows of failed paths (sub_doc, sub_row, sub_paths) that a smaller document
+    holds word by word. Only hashes that different windows share come here; theirs alone are collected."""
+    spark, keyed = docs.sparkSession, row_keys(docs).select("sub_doc", "sub_row", "text")
+    rows = keyed.join(failed, ["sub_doc", "sub_row"]).select("sub_doc", "sub_row", "text", "sub_paths")
+    lost = stored(rows.mapInArrow(_lost(k), "sub_doc long, sub_row long, start int, hash long, words binary").distinct())
+    hashes = np.array([r.hash for r in lost.select("hash").distinct().collect()], np.int64).view(np.uint64)
+    wanted = spark.sparkContext.broadcast(np.sort(hashes))
+    if not len(hashes):
+        return lost.select("sub_doc", "sub_row", F.struct("start", F.lit(1).alias("n"), F.lit(0).cast("long").alias("source"), F.lit(0).cast("long").alias("from"), F.lit(0).alias("at")).alias("p"))
+    least = keyed.mapInArrow(_holders(k, wanted), "source long, from long, at int, words binary").groupBy("words").agg(F.min(F.struct("source", "from", "at")).alias("low"))
+    found = lost.join(least, "words").filter("low.source < sub_doc")
+    return found.select("sub_doc", "sub_row", F.struct("start", F.lit(1).alias("n"), "low.source", "low.from", "low.at").alias("p"))
+
+
 def remove_repeats(docs: DataFrame, k: int = WINDOW, gram: int = GRAM, keep_text: bool = True) -> DataFrame:
     """docs without the words under repeated windows of k words, and n_words, n_removed, n_paths (the
     repeated paths) and kept_sha256. Kept words are joined by one space. Without keep_text, text is left out."""
     paths = stored(repeated_paths(docs, k, gram))
-    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    keyed = row_keys(docs)
+    fields = [f for f in keyed.schema.fields if keep_text or f.name != "text"]
     new = [T.StructField(n, T.LongType()) for n in ("n_words", "n_removed", "n_paths")] + [T.StructField("kept_sha256", T.StringType())]
     ddl = T.StructType(fields + new).add("sub_own", T.DataType.fromDDL(_OWN)).add("sub_served", T.DataType.fromDDL(_SERVED))
+    row, place = ["sub_doc", "sub_row"], ["source", "from", "at", "n", "words"]
     while True:
-        each = paths.select("sub_doc", F.explode("sub_paths").alias("p"))
-        asked = each.select(F.col("p.source").alias("sub_from"), "p.at", "p.n").distinct().groupBy("sub_from").agg(F.collect_list(F.struct("at", "n")).alias("sub_asked"))
-        key = F.coalesce(docs.doc_id, F.lit(NULL_ID))
-        joined = docs.join(paths, key == paths.sub_doc, "left").join(asked, key == asked.sub_from, "left").drop("sub_doc", "sub_from")
+        each = paths.select(F.explode("sub_paths").alias("p"))
+        asked = each.select(F.col("p.source").alias("sub_doc"), F.col("p.from").alias("sub_row"), "p.at", "p.n").distinct().groupBy(row).agg(F.collect_list(F.struct("at", "n")).alias("sub_asked"))
+        joined = keyed.join(paths, row, "left").join(asked, row, "left").select(*keyed.columns, "sub_paths", "sub_asked")
         out = stored(joined.mapInArrow(_cut(k, keep_text), ddl))
-        # the words at the source's coordinates must be the path's own; a path that fails is tried window by window
-        mine = out.select(F.explode("sub_own").alias("p")).select("p.source", "p.at", "p.n", "p.words").distinct()
-        theirs = out.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("source"), F.explode("sub_served").alias("p")).select("source", "p.at", "p.n", "p.words")
-        wrong = stored(mine.join(theirs, ["source", "at", "n", "words"], "left_anti").select("source", "at", "n").distinct())
+        # the words at the source's coordinates must be the path's own; the windows of a path that fails are sought again
+        mine = out.select(*row, F.explode("sub_own").alias("p")).select(*row, "p.*")
+        theirs = out.select(F.col("sub_doc").alias("source"), F.col("sub_row").alias("from"), F.explode("sub_served").alias("p")).select("source", "from", "p.at", "p.n", "p.words")
+        wrong = stored(mine.select(place).distinct().join(theirs, place, "left_anti"))
         if wrong.isEmpty():
-            return out.drop("sub_own", "sub_served")
-        failed = each.join(wrong, (F.col("p.source") == wrong.source) & (F.col("p.at") == wrong.at) & (F.col("p.n") == wrong.n), "left").withColumn("bad", wrong.at.isNotNull())
-        single = F.transform(F.sequence(F.lit(0), F.col("p.n") - 1), lambda i: F.struct((F.col("p.start") + i).alias("start"), F.lit(1).alias("n"), F.col("p.source").alias("source"), (F.col("p.at") + i).alias("at")))
-        again = failed.filter(~F.col("bad")).select("sub_doc", "p").unionByName(failed.filter(F.col("bad") & (F.col("p.n") > 1)).select("sub_doc", F.explode(single).alias("p")))
-        paths = stored(again.groupBy("sub_doc").agg(F.collect_list("p").alias("sub_paths")))
+            return out.drop(*row, "sub_own", "sub_served")
+        path = F.struct("start", "n", "source", "from", "at")
+        failed = mine.join(wrong, place, "left_semi").groupBy(row).agg(F.collect_set(path).alias("sub_paths"))
+        good = mine.join(wrong, place, "left_anti").select(*row, path.alias("p"))
+        again = good.unionByName(sought(docs, failed, k))
+        paths = stored(again.groupBy(row).agg(F.collect_set("p").alias("sub_paths")))

@@ -98,6 +98,30 @@ def test_substrings(spark, batch, monkeypatch):
     assert substrings.remove_repeats(frame(spark, [])).collect() == []
 
 
+def own_repeats(rows, k=13):
+    """What brute_repeats gives, of each row by itself: rows of one id need not have one text."""
+    docs = [(substrings.NULL_ID if i is None else i, WORDS.findall(t or "")) for i, t, _ in rows]
+    first = {}
+    for i, w in docs:
+        for j in range(len(w) - k + 1):
+            first[tuple(w[j : j + k])] = min(i, first.get(tuple(w[j : j + k]), i))
+    gone = [{x for j in range(len(w) - k + 1) if first[tuple(w[j : j + k])] < i for x in range(j, j + k)} for i, w in docs]
+    return sorted((i, len(w), len(g), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in g).encode()).hexdigest()) for (i, w), g in zip(docs, gone, strict=True))
+
+
+@pytest.mark.parametrize(("batch", "width"), [(1, 7), (1 << 20, 7), (1, 1), (1 << 20, 1)])
+def test_substrings_of_one_id(spark, batch, width, monkeypatch):
+    """Several null ids and a repeated id with different texts; hashes of one byte, which many windows share."""
+    monkeypatch.setattr(substrings, "BATCH_BYTES", batch)
+    monkeypatch.setattr(substrings, "HASH_BYTES", width)
+    passage, other = prose(50, 40), prose(51, 30)
+    rows = odd_rows() + [(200 + i, f"{prose(60 + i, 30)} {passage}", "a") for i in range(5)]
+    rows += [(None, f"{other} {passage} {prose(70 + i, 9)}", "a") for i in range(3)] + [(None, prose(80, 60), "a"), (None, None, "a")]
+    rows += [(2, passage, "a"), (2, f"{prose(81, 20)} {other}", "a"), (2, prose(82, 70), "a"), (300, other, "a"), (300, f"x {passage}", "a")]
+    out = substrings.remove_repeats(frame(spark, rows)).collect()
+    assert sorted((substrings.NULL_ID if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == own_repeats(rows)
+
+
 def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 50)
     for w in range(1, 12):
