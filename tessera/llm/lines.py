@@ -1,7 +1,7 @@
 """Line dedup within an edit bound, native: DataFrame functions only.
 
-Lines (split at newlines) are compared by their words. A line goes if an earlier line (by doc_id, then
-place) has the same words or, for lines of at least MIN_WORDS words, is one word edit away: a word
+Lines (split at newlines) are compared by their words. A line goes if an earlier line (by doc_id, then a
+hash of the text, which tells rows of one doc_id apart, then place) has the same words or, for lines of at least MIN_WORDS words, is one word edit away: a word
 replaced, added or left out. Lines without words always stay.
 
 A deletion neighbourhood finds the edits: every line gives a hashed key for each of its words left out;
@@ -11,23 +11,25 @@ each with the earliest misses none; a key of a word left out meets the whole sho
 
 Scale: equal lines are first reduced to their earliest, before the shuffle. Two lines one edit apart share
 their first or their last words, a quarter of the line or more, so only lines that share such an end with
-another different line give variants; nothing is lost by that. Groups give one row a member, never pairs.
+another different line give variants; nothing is lost by that. Those lines are numbered in their order, so
+that a variant carries a number only. Groups give one row a member, never pairs.
 All shuffles carry hashes and coordinates; the texts are shuffled once, and those with variants twice.
 
-Defined cases: null text has no lines and stays null; a null doc_id is above all others; rows that repeat
-a doc_id share their verdicts; very long lines give as many variants as they have words, each in constant
+Defined cases: null text has no lines and stays null; a null doc_id is above all others; of rows
+with equal doc_ids and texts one keeps its lines, the others lose all that have words; very long lines give as many variants as they have words, each in constant
 time; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, WORD, stored
 
 MIN_WORDS = 8
 _LOW, _HIGH = 0xFFFFFFFF, 32
+_ROW = ["line_doc", "line_row"]
 
 
 def words_of(line: Column) -> Column:
@@ -55,16 +57,21 @@ def ends(words: Column, n: Column) -> Column:
     return F.when(n < MIN_WORDS, none).when(doubled, F.concat(pair(n), pair(n - 1))).otherwise(pair(n))
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with line_doc, its doc_id or NULL_ID, and line_row, which tells rows of one doc_id apart by their texts."""
+    return docs.withColumns({"line_doc": F.coalesce("doc_id", F.lit(NULL_ID)), "line_row": F.xxhash64("text")})
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """line_doc, line_at, line_key, line_ends of every line with words."""
-    lines = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("line_doc"), F.posexplode(F.split("text", "\n")).alias("line_at", "line"))
+    """line_doc, line_row, line_at, line_key, line_ends of every line with words."""
+    lines = row_keys(docs).select(*_ROW, F.posexplode(F.split("text", "\n")).alias("line_at", "line"))
     lines = lines.withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).filter("n > 0")
     key = F.unhex(F.md5(F.array_join("words", " ")))
-    return lines.select("line_doc", "line_at", key.alias("line_key"), ends(F.col("words"), F.col("n")).alias("line_ends"))
+    return lines.select(*_ROW, "line_at", key.alias("line_key"), ends(F.col("words"), F.col("n")).alias("line_ends"))
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """lines (line_doc, line_at, words): line_var, role, line_doc, line_at. Role 0: a word replaced, keyed with its
+    """lines (line_no, words): line_var, role, line_no. Role 0: a word replaced, keyed with its
     place; 1: a word left out; 2: the whole line, as what is left of a longer one.
 
     A replaced word's key sums the other words' hashes with their places; a left-out word's sums the
@@ -93,7 +100,7 @@ def variants(lines: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(1), F.col("n"))
     whole = F.array(F.struct(F.xxhash64(F.lit(1), F.col("n"), F.col("gl"), F.col("gh")).alias("line_var"), F.lit(2).alias("role")))
     every = F.concat(F.transform(places, replaced), F.when(F.col("n") > MIN_WORDS, F.transform(places, left_out)).otherwise(F.slice(whole, 1, 0)), whole)
-    return rows.select("line_doc", "line_at", F.explode(every).alias("v")).select("v.line_var", "v.role", "line_doc", "line_at")
+    return rows.select("line_no", F.explode(every).alias("v")).select("v.line_var", "v.role", "line_no")
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -107,34 +114,37 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def near_drops(lines: DataFrame) -> DataFrame:
-    """line_doc, line_at of the lines (line_doc, line_at, words) that an earlier one is one edit from."""
-    keys = stored(variants(lines))
-    place = F.struct("line_doc", "line_at")
-    groups = keys.groupBy("line_var").agg(
-        F.count("*").alias("n"), F.min(F.when(F.col("role") == 0, place)).alias("m0"), F.min(F.when(F.col("role") == 1, place)).alias("m1"), F.min(F.when(F.col("role") == 2, place)).alias("m2")
-    ).filter("n > 1")
+    """line_doc, line_row, line_at of the lines (line_no, line_doc, line_row, line_at, words) that one of a smaller number is one edit from."""
+    keys = stored(variants(lines.select("line_no", "words")))
+    least = lambda role: F.min(F.when(F.col("role") == role, F.col("line_no"))).alias(f"m{role}")
+    groups = keys.groupBy("line_var").agg(F.count("*").alias("n"), least(0), least(1), least(2)).filter("n > 1")
     lead = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    found = keys.join(groups, "line_var").withColumn("lead", lead).filter(F.col("lead") < place).select("line_doc", "line_at", "lead").distinct()
-    other = lines.select(F.struct("line_doc", "line_at").alias("lead"), F.col("words").alias("lead_words"))
-    pairs = found.join(lines, ["line_doc", "line_at"]).join(other, "lead")
-    return pairs.filter(one_edit(F.col("words"), F.col("lead_words"))).select("line_doc", "line_at").distinct()
+    found = keys.join(groups, "line_var").withColumn("lead", lead).filter(F.col("lead") < F.col("line_no")).select("line_no", "lead").distinct()
+    other = lines.select(F.col("line_no").alias("lead"), F.col("words").alias("lead_words"))
+    pairs = found.join(lines, "line_no").join(other, "lead")
+    return pairs.filter(one_edit(F.col("words"), F.col("lead_words"))).select(*_ROW, "line_at").distinct()
 
 
 def dedup_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """docs without the lines that go, and n_lines, n_removed and kept_sha256 (of the kept lines, joined by
     newlines). Without keep_text, text is left out."""
     table = stored(line_table(docs.select("doc_id", "text")))
-    place = F.struct("line_doc", "line_at")
+    place = F.struct(*_ROW, "line_at")
     first = table.groupBy("line_key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("line_ends").alias("line_ends"))
     first = stored(first)
     again = table.join(first.filter("copies > 1").select("line_key", "first"), "line_key").filter(place > F.col("first"))
     shared = stored(first.select(F.explode("line_ends").alias("end"), "first"))
     twice = shared.groupBy("end").agg(F.count("*").alias("n")).filter("n > 1")
     tried = shared.join(twice, "end", "left_semi").select("first.*").distinct()
-    marks = again.select("line_doc", "line_at", F.lit(False).alias("tried")).unionByName(tried.withColumn("tried", F.lit(True)))
-    marks = marks.groupBy("line_doc").agg(F.collect_list(F.when(~F.col("tried"), F.col("line_at"))).alias("line_out"), F.collect_list(F.when(F.col("tried"), F.col("line_at"))).alias("line_try"))
+    marks = again.select(*_ROW, "line_at", F.lit(False).alias("tried")).unionByName(tried.withColumn("tried", F.lit(True)))
+    marks = marks.groupBy(_ROW).agg(F.collect_list(F.when(~F.col("tried"), F.col("line_at"))).alias("line_out"), F.collect_list(F.when(F.col("tried"), F.col("line_at"))).alias("line_try"))
     none = F.array().cast("array<int>")
-    joined = docs.join(marks, F.coalesce(docs.doc_id, F.lit(NULL_ID)) == marks.line_doc, "left").withColumns({c: F.coalesce(c, none) for c in ("line_out", "line_try")})
+    joined = row_keys(docs).join(marks, _ROW, "left").withColumns({c: F.coalesce(c, none) for c in ("line_out", "line_try")})
+    # of equal rows all but one find their lines in that one
+    joined = joined.withColumn("line_copy", F.row_number().over(Window.partitionBy(_ROW).orderBy("line_row")) > 1)
+    lines = F.split("text", "\n")
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+    joined = joined.withColumns({"line_out": F.when(F.col("line_copy") & F.col("text").isNotNull(), worded).otherwise(F.col("line_out")), "line_try": F.when(F.col("line_copy"), none).otherwise(F.col("line_try"))}).drop("line_copy")
 
     def finished(rows: DataFrame, out: Column) -> DataFrame:
         lines = F.split("text", "\n")
@@ -150,11 +160,12 @@ def dedup_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     if not keep_text:
         half = half.withColumn("text", F.when(wait, F.col("text")))
     half = stored(half)
-    asked = half.filter(wait).withColumn("lines", F.split("text", "\n"))
-    asked = asked.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("line_doc"), F.explode(F.array_distinct("line_try")).alias("line_at"), "lines")
-    near = near_drops(stored(asked.select("line_doc", "line_at", words_of(F.element_at("lines", F.col("line_at") + 1)).alias("words")).dropDuplicates(["line_doc", "line_at"])))
-    near = near.groupBy("line_doc").agg(F.collect_list("line_at").alias("line_near"))
-    late = half.filter(wait).join(near, F.coalesce(half.doc_id, F.lit(NULL_ID)) == near.line_doc, "left")
+    asked = half.filter(wait).withColumn("lines", F.split("text", "\n")).select(*_ROW, F.explode(F.array_distinct("line_try")).alias("line_at"), "lines")
+    asked = asked.select(*_ROW, "line_at", F.element_at("lines", F.col("line_at") + 1).alias("line")).orderBy(*_ROW, "line_at")
+    # numbers that rise in the order of the sort
+    near = near_drops(stored(asked.select(F.monotonically_increasing_id().alias("line_no"), *_ROW, "line_at", words_of(F.col("line")).alias("words"))))
+    near = near.groupBy(_ROW).agg(F.collect_list("line_at").alias("line_near"))
+    late = half.filter(wait).join(near, _ROW, "left")
     late = finished(late.drop("n_lines", "n_removed", "kept_sha256"), F.array_distinct(F.concat("line_out", F.coalesce("line_near", none))))
     names = [c for c in docs.columns if keep_text or c != "text"] + ["n_lines", "n_removed", "kept_sha256"]
     return half.filter(~wait).select(names).unionByName(late.select(names))

@@ -285,6 +285,24 @@ def test_lines(spark):
     assert lines.dedup_lines(frame(spark, [(1, "a b\na b", "x")] * 2)).count() == 2
 
 
+def test_lines_of_one_id(spark):
+    """Repeated rows, several null ids and a repeated id with different texts, each row by itself."""
+    rng = random.Random(6)
+    shared = [prose(i, 12) for i in range(6)]
+    rows = odd_rows()
+    for i in [None, None, None, None, 4, 4, 4, 300, 301, 301]:
+        doc = [rng.choice(shared), prose(rng.randrange(99), 9), rng.choice(shared).replace("w1", "v1", 1), "", "short", prose(rng.randrange(9), 10)]
+        rows.append((i, "\n".join(doc), "a"))
+    rows += [(None, "\n".join(shared[:3]), "a")] * 2 + [(None, "\n".join([shared[0], prose(900 + k, 14)]), "a") for k in range(3)] + [(None, None, "a")] * 2
+    hashes = [r.h for r in frame(spark, rows).select(F.xxhash64("text").alias("h")).collect()]
+    order = sorted(range(len(rows)), key=lambda k: (lines.NULL_ID if rows[k][0] is None else rows[k][0], hashes[k]))
+    # rows numbered in their order have ids of their own, as the brute force needs
+    want = brute_lines([(n, rows[k][1], None) for n, k in enumerate(order)])
+    want = sorted(((rows[k][0], *want[n]) for n, k in enumerate(order)), key=str)
+    out = lines.dedup_lines(frame(spark, rows)).select("doc_id", "n_lines", "n_removed", "kept_sha256", "text")
+    assert sorted(map(tuple, out.collect()), key=str) == want
+
+
 def exact_classes(rows, idf):
     import pyarrow as pa
 
