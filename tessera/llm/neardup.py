@@ -23,8 +23,9 @@ and the texts that share a key, once to their ids and once to their pairs. Class
 links with smallest labels, a logarithmic number of rounds; nothing but the bins is collected.
 
 Defined cases: null and blank texts are only equal to themselves among rows (null is no copy of anything);
-texts under five words are grouped by equal text only; a null doc_id is above all others; rows that repeat
-a doc_id have one class; an empty table gives an empty result.
+texts under five words are grouped by equal text only; a null doc_id is above all others; a document is known by a hash of its doc_id
+and text, so rows of one doc_id and different texts, as null ids, are documents of their own (a class of null ids
+only has a null class_id); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, gram_hashes, mix64, runs, spread, stored, text_batches, text_bytes, word_bounds, word_hashes
@@ -267,7 +268,7 @@ def components(links: DataFrame) -> DataFrame:
     half of the docs, mostly far fewer.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    levels: list[DataFrame] = []
+    ends, levels = edges.select(F.col("v").alias("doc")), []
     while not levels or not edges.isEmpty():
         hook = edges.groupBy("u").agg(F.min("v").alias("p"))
         for _ in range(2):
@@ -278,18 +279,24 @@ def components(links: DataFrame) -> DataFrame:
         over = edges.join(end("u"), "u").join(end("v"), "v", "left").select(F.col("u_end").alias("a"), F.coalesce("v_end", "v").alias("b"))
         further = hook.select(F.col("p").alias("u")).distinct().join(end("u"), "u").select(F.col("u").alias("a"), F.col("u_end").alias("b"))
         edges = stored(over.unionByName(further).filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    lows = levels[0].select(F.col("p").alias("doc")).distinct().join(levels[0].select(F.col("u").alias("doc")), "doc", "left_anti")
+    # those without a smaller neighbour; not all of them end a way
+    lows = ends.distinct().join(levels[0].select(F.col("u").alias("doc")), "doc", "left_anti")
     out = levels[0].select(F.col("u").alias("doc"), F.col("p").alias("class_id")).unionByName(lows.withColumn("class_id", F.col("doc")))
     for hook in levels[1:]:
         out = out.join(hook.select(F.col("u").alias("class_id"), F.col("p").alias("end")), "class_id", "left").select("doc", F.coalesce("end", "class_id").alias("class_id"))
     return out
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class) for each doc_id of docs (doc_id, text)."""
+def doc_key() -> Column:
+    """Tells documents apart; rows of equal doc_ids and texts have one key."""
+    return F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), F.coalesce("text", F.lit("")), F.col("text").isNull())
+
+
+def document_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc (the key), id, sha (of the text, NULL for none), least (the id and doc that are smallest in its class) for each row of docs."""
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
-    slim = stored(keyed.select("doc", F.unhex(F.md5("text")).alias("sha")))
+    keyed = docs.select(doc_key().alias("doc"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
+    slim = stored(keyed.select("doc", "id", F.unhex(F.md5("text")).alias("sha")))
     equal = slim.filter("sha is not null").groupBy("sha").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
     copies = stored(slim.join(equal.filter("n > 1").select("sha", "rep"), "sha").filter("doc <> rep").select("doc", "rep").distinct())
     frequencies, n = document_frequencies(docs)
@@ -299,14 +306,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(keys.join(shared, ["band", "key"], "left_semi"))
     asked = members.select("doc").distinct()
-    texts = stored(keyed.filter("text is not null").join(asked, "doc", "left_semi").dropDuplicates(["doc"]))
+    texts = stored(keyed.filter("text is not null").join(asked, "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"]))
     same = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    classes = similar_classes(members, marks.select("doc", "draws"), texts, idf, same, threshold)
-    out = slim.select("doc").distinct().join(classes, "doc", "left")
-    return out.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), F.nullif(F.coalesce("class_id", "doc"), F.lit(NULL_ID)).alias("class_id"))
+    classes = stored(similar_classes(members, marks.select("doc", "draws"), texts, idf, same, threshold))
+    place = F.struct("id", "doc")
+    least = classes.join(slim, "doc").groupBy("class_id").agg(F.min(place).alias("least"))
+    named = classes.join(least, "class_id").select("doc", "least")
+    return slim.join(named, "doc", "left").withColumn("least", F.coalesce("least", place))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class) for each row of docs (doc_id, text)."""
+    null = F.lit(NULL_ID)
+    return document_classes(docs, threshold).select(F.nullif("id", null).alias("doc_id"), F.nullif("least.id", null).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs of which each class keeps its smallest doc_id."""
-    gone = near_duplicates(docs, threshold).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("near_doc"))
-    return docs.join(gone, F.coalesce(docs.doc_id, F.lit(NULL_ID)) == gone.near_doc, "left_anti")
+    """docs of which each class keeps one row of its smallest doc_id; null texts all stay."""
+    found = stored(document_classes(docs, threshold).filter("sha is not null").select(F.col("doc").alias("near_doc"), (F.col("doc") != F.col("least.doc")).alias("gone")))
+    found = found.groupBy("near_doc").agg(F.max("gone").alias("gone"), F.count("*").alias("n"))
+    keyed = docs.withColumn("near_doc", doc_key())
+    single = keyed.join(found.filter("gone or n > 1"), "near_doc", "left_anti")
+    twice = keyed.join(found.filter("not gone and n > 1"), "near_doc", "left_semi").dropDuplicates(["near_doc"])
+    return single.unionByName(twice).drop("near_doc")

@@ -348,6 +348,20 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Null ids and a repeated id with different texts: each row has the class of its own text."""
+    a, b, c, d = (prose(700 + k, 120) for k in range(4))
+    near = lambda t: t.replace(t.split()[60], "edited", 1)
+    rows = [(8, a), (None, near(a)), (None, b), (None, near(b)), (None, b), (None, c), (None, None), (None, None), (6, a), (6, d), (7, near(d)), (9, d), (9, c), (5, "short"), (5, "short"), (4, None), (4, None)]
+    df = frame(spark, [(i, t, "a") for i, t in rows])
+    want = {a: 6, near(a): 6, b: None, near(b): None, c: 9, d: 6, near(d): 6, "short": 5}
+    got = [(r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted(((i, want[t] if t is not None else i) for i, t in rows), key=str)
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(df).collect()]
+    assert sorted((x for x in kept if x[1] not in (b, near(b))), key=str) == sorted([(6, a), (6, d), (9, c), (None, None), (None, None), (5, "short"), (4, None), (4, None)], key=str)
+    assert len([x for x in kept if x[1] in (b, near(b))]) == 1
+
+
 def test_sampling_rate():
     """Draws agree as often as the weighted Jaccard similarity says."""
     rng = np.random.default_rng(2)
@@ -366,6 +380,13 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 6)} | {10: 10, 11: 10, 12: 10} | {100 + i: 100 for i in range(41)}
 
 
+def test_components_of_several_lows(spark):
+    """A doc without a smaller neighbour whose neighbours hook to others."""
+    links = [(1, 9), (4, 9), (6, 9), (6, 12), (5, 12), (-3, 20), (8, 20), (8, 21), (7, 21)]
+    got = {r.doc: r.class_id for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 1 for i in (1, 4, 5, 6, 9, 12)} | {i: -3 for i in (-3, 7, 8, 20, 21)}
+
+
 @pytest.mark.parametrize("dims", [64, 10])
 def test_top_k(spark, dims):
     rng = np.random.default_rng(4)
