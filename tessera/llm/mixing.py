@@ -9,8 +9,8 @@ range), summed before anything is shuffled by source; so one huge source spreads
 is found from histograms of the finish times and a sort of the one narrow bin that holds it.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own,
-last in order; an empty table gives an empty mix; repeated rows are documents of their own, each takes
-its own turn; other columns are carried along (names starting with _mix are reserved).
+last in order; an empty table gives an empty mix; rows that repeat a doc_id, or have none, are documents
+of their own, each takes its own turn, by a digest of its text; other columns are carried along (names starting with _mix are reserved).
 """
 
 from __future__ import annotations
@@ -60,12 +60,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     which the mix is ordered. The total never exceeds share times all sizes.
     """
     slices = max(16, min(MAX_SLICES, docs.count() // SLICE_ROWS))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # by a hash of the id, then by one of the text; null ids, which share a hash, have slices of their own
+    part = lambda digest: F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * slices / F.lit(2**32))
+    no_id = F.md5(F.lit(f"{seed}:"))
+    by_id, by_text = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.md5(F.coalesce("text", F.lit("")))
+    within = F.when(by_id < no_id, 0).when(by_id > no_id, slices + 1).otherwise(1 + part(by_text))
     base = (
         docs.withColumn("_mix_size", word_count("text"))
         .withColumn("_mix_source", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")))
-        .withColumn("_mix_order", order)
-        .withColumn("_mix_slice", F.floor(F.conv(F.substring("_mix_order", 1, 8), 16, 10).cast("long") * slices / F.lit(2**32)))
+        .withColumn("_mix_order", F.concat(by_id, by_text))
+        .withColumn("_mix_slice", part(by_id) * (slices + 2) + within)
     )
     plain = set(docs.columns) == {"doc_id", "text", "source"}
     slim = stored(base.select(*(["doc_id", "source"] if plain else ["doc_id"]), "_mix_size", "_mix_source", "_mix_order", "_mix_slice"))

@@ -59,6 +59,13 @@ def test_mix(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+def test_mix_of_one_id(spark):
+    """Null ids and a repeated id take the same turns in whatever order their rows come."""
+    rows = [(None, prose(i, 5 + i % 40), "ab"[i % 2]) for i in range(80)] + [(7, prose(200 + i, 9 + i), "a") for i in range(20)] + [(900 + i, prose(i, 30), "b") for i in range(40)]
+    one, two = (mixing.mix(frame(spark, r).coalesce(1)).select("doc_id", "text", "_mix_copies", "_mix_time").collect() for r in (rows, rows[::-1]))
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len({r._mix_time for r in one if r.doc_id is None}) > 70
+
+
 def test_targets(spark):
     sizes = {"a": 100, "b": 1000, "c": 10, "d": 0}
     df = spark.createDataFrame(list(sizes.items()), "_mix_source string, _mix_source_size long")
