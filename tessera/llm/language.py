@@ -29,6 +29,8 @@ from tessera.llm.common import mix64, text_batches
 DIMS = 1024
 #: The most labelled rows that teach, as an expected number.
 SAMPLE = 30_000
+#: Of each language at least about this many rows are kept by the sample, or all it has.
+LEAST = 100
 UNKNOWN = "und"
 #: Texts are counted together up to so many bytes.
 BLOCK_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
@@ -132,9 +134,12 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS) -> dict[str, np.ndarray]:
     """A prototype for each language among the labelled rows of docs that teach (fold other than 1)."""
     known = docs.filter(docs.lang.isNotNull() & docs.text.isNotNull() & docs.doc_id.isNotNull() & (fold(docs.doc_id) != 1))
-    n = known.select("doc_id").count()
-    part = min(1.0, sample / max(n, 1))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else known
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    chosen = known
+    if sum(counts.values()) > sample:
+        share = max(sample / len(counts), LEAST)
+        rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, share / n) * (1 << 30)))])
+        chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rates[F.col("lang")])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -175,6 +175,12 @@ def test_language(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"} and none.count() == len(rows)
 
 
+def test_rare_language(spark):
+    """A sample far smaller than the labelled rows still holds every language."""
+    rows = [(i, "the of and with that", "aa") for i in range(3000)] + [(9000 + i, "über für nicht das", "bb") for i in range(3)]
+    assert set(language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=4)) == {"aa", "bb"}
+
+
 def test_trigram_blocks():
     texts = [prose(1, 300), "", "日本 語", "AbC abc"]
     whole = language.text_vectors(texts)[0]
