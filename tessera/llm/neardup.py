@@ -6,21 +6,24 @@ texts draw the same one with probability equal to their weighted Jaccard similar
 all draws of a band are candidates; their similarity is then computed exactly, and texts of THRESHOLD or
 more are linked. Linked texts, and texts linked through others, are one class.
 
-Candidates of a band key are not paired with each other: each is compared with the key's smallest document
-(the leader); the texts that it didn't take form the key's next round, with eight times as many leaders.
-Distance (1 - similarity) obeys the triangle inequality, so a text that a leader didn't take can be linked
-to that leader's texts only if it is less than twice the allowed distance away; where it is not in their
-class already, it is compared with more and more of them, the farthest from the leader first, until it is
-or none is left. So no link that matters for the classes is lost, the work is linear in a large group of
-copies, and rounds are a logarithm of the largest group. Pairs whose draws agree in less than LEAST_DRAWS
-are ruled out first.
+Candidates of a band key are not paired with each other. First each is compared with the key's lightest
+text (the leader), and the links found give classes. A key whose other texts are of one class then has
+nothing left to link. The texts of all other keys (the contested ones) are joined by prefixes, which loses
+no link: shingles are ordered from those in the fewest contested texts on; the first shingle that two texts
+share leaves each of them at most the weight that follows it, so a pair is compared only if that could be
+enough, and only if its classes differ. In a group of texts that resemble each other less than THRESHOLD
+asks for, the rare shingles that each has of its own use up that weight, so hardly a pair is left; a list of
+a shingle is joined with those of its entries that are not of its largest class, in parts of PART entries.
+So the work is linear in a large group of copies, near copies or texts that share a passage, and the
+rounds are two, whatever the size of the groups.
 
 Document frequencies are counted over all documents in BINS hashed bins (frequent words keep their own
 counts; rare ones share bins), so the table has one size for any corpus.
 
-Scale: equal texts are reduced to their smallest document by digests. Shuffled: bin counts, band keys,
-and the texts that share a key, once to their ids and once to their pairs. Classes come from joins of the
-links with smallest labels, a logarithmic number of rounds; nothing but the bins is collected.
+Scale: equal texts are reduced to one by digests. Shuffled: bin counts, band keys (twice), the texts that
+share a key, once to their ids and once for each leader they are compared with, and the shingles of
+contested texts. A leader's texts are dealt in parts of PART. Classes come from joins of the links with
+smallest labels, a logarithmic number of rounds; nothing but the bins is collected.
 
 Defined cases: null and blank texts are only equal to themselves among rows (null is no copy of anything);
 texts under five words are grouped by equal text only; a null doc_id is above all others; a document is known by a hash of its doc_id
@@ -40,11 +43,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import NULL_ID, gram_hashes, mix64, runs, spread, stored, text_batches, text_bytes, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: 11 bands of 4: finds a pair of similarity 0.8 with probability 0.997, of 0.9 with 0.99999.
-BANDS, ROWS = 11, 4
-#: Pairs that agree in fewer of the 44 draws are not compared: one of similarity 0.6 does with probability
-#: 0.0004, one of 0.8 with 1e-11.
-LEAST_DRAWS = 15
+#: 17 bands of 6 draws: two texts of similarity 0.8 share a key with probability 0.994, of 0.85 with 0.9998.
+BANDS, ROWS = 17, 6
+#: At most so many texts of a leader, or entries of a shingle's list, are dealt to one task together.
+PART = 1 << 11
 BINS, BLOCKS = 1 << 18, 64
 BATCH_BYTES = 4 << 20
 TABLE = 1 << 14
@@ -142,7 +144,7 @@ def draws(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, tables: tu
     return out
 
 
-def band_keys(drawn: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_keys(drawn: np.ndarray, rows: int = 4) -> np.ndarray:
     """A key for each band of rows draws."""
     keys = np.zeros((len(drawn), drawn.shape[1] // rows), np.uint64)
     for k in range(drawn.shape[1]):
@@ -162,102 +164,114 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(texts: DataFrame, idf) -> DataFrame:
-    """doc, keys (of its bands) and draws (32 bits of each) of the rows (doc, text) that have shingles. idf: a broadcast array."""
+    """doc, weight and keys (of its bands) of the rows (doc, text) that have shingles. idf: a broadcast array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = sample_tables(BANDS * ROWS)
+        tables, bands = sample_tables(BANDS * ROWS), np.arange(BANDS, dtype=np.uint64)
         for batch in text_batches(batches, "text", BATCH_BYTES):
             words, first = text_words(batch.column(1))
             hashes, weights, at = shingles(words, first, idf.value)
             full = np.flatnonzero(np.diff(at))
-            drawn = draws(hashes, weights, at, tables)[full]
+            keys = mix64(band_keys(draws(hashes, weights, at, tables)[full], ROWS) + bands)
             docs = batch.column(0).to_numpy(zero_copy_only=False)[full]
-            short = [row.tobytes() for row in drawn.astype("<u4")]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(list(band_keys(drawn).view(np.int64)), pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc", "keys", "draws"])
+            offsets = pa.array(np.arange(0, BANDS * len(full) + 1, BANDS, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(total_weights(weights, at)[full]), lists], ["doc", "weight", "keys"])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc long, keys array<long>, draws binary")
+    return texts.select("doc", "text").mapInArrow(run, "doc long, weight double, keys array<long>")
 
 
-def screened(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose draws agree in LEAST_DRAWS or more. marks: doc, draws."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in (2, 3))
-            good = pa.array((x == y).sum(axis=1) >= LEAST_DRAWS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
-
-    one = marks.select(F.col("doc").alias("a"), F.col("draws").alias("draws_a"))
-    two = marks.select(F.col("doc").alias("b"), F.col("draws").alias("draws_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "draws_a", "draws_b").mapInArrow(run, "a long, b long")
+def total_weights(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each text's sum of weights."""
+    return np.array([weights[i:j].sum(dtype=np.float64) for i, j in zip(at[:-1], at[1:], strict=True)], np.float64)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """pairs (a, b) with sim, their texts' weighted Jaccard similarity."""
+    """pairs (a, b) with sim, their texts' weighted Jaccard similarity. A text a is sent once for each part of its b's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
-        for batch in text_batches(batches, "text_b", BATCH_BYTES):
+        kept = None
+        for batch in text_batches(batches, "text", BATCH_BYTES):
             words, first = text_words(batch.column(3))
             hashes, weights, at = shingles(words, first, idf.value)
-            sims = []
-            for i, a in enumerate(batch.column(0).to_pylist()):
-                if a != last:
-                    h, w, f = shingles(*text_words(batch.column(2).slice(i, 1)), idf.value)
-                    last, kept = a, (h, w)
-                sims.append(similarity(kept, (hashes[at[i] : at[i + 1]], weights[at[i] : at[i + 1]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
-
-    one = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    return rows.mapInArrow(run, "a long, b long, sim double")
-
-
-def similar_classes(members: DataFrame, marks: DataFrame, texts: DataFrame, idf, copies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc, class_id of all documents linked to another, by copies (a, b) or as similar members (doc, band, key) of a key."""
-    far, leaders = 1 - threshold, 1
-    order = Window.partitionBy("band", "key").orderBy("doc")
-    known = texts.sparkSession.range(0).selectExpr("id AS a", "id AS b", "CAST(NULL AS DOUBLE) AS sim")
-    apart = None
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """known and these pairs, each once, with their similarity; pairs that the draws rule out are left out."""
-        new = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        return known.unionByName(stored(verified(screened(new, marks), texts, idf)))
-
-    while True:
-        first = members.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= leaders).select("band", "key", F.col("doc").alias("lead"))
-        rows = stored(members.join(first, ["band", "key"]).filter("doc > lead"))
-        if rows.isEmpty():
-            break
-        known = compared(rows.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
-        found = known.select(F.col("a").alias("lead"), F.col("b").alias("doc"), (1 - F.col("sim")).alias("d"))
-        here = stored(rows.join(found, ["lead", "doc"], "left").withColumn("d", F.coalesce("d", F.lit(1.0))))
-        apart = here if apart is None else apart.unionByName(here)
-        rest = here.groupBy("band", "key", "doc").agg(F.min("d").alias("d")).filter(F.col("d") > far).drop("d")
-        members = rest.join(first.withColumnRenamed("lead", "doc"), ["band", "key", "doc"], "left_anti")
-        leaders *= 8
-
-    tries, most = 8, None
-    while True:
-        classes = components(known.filter(F.col("sim") >= threshold).select("a", "b").unionByName(copies))
-        if apart is None or (most is not None and tries >= 8 * most):
-            return classes
-        # a text between far and twice far from a leader may be linked to one of that leader's texts, if it is not in its class already
-        label = lambda c: classes.select(F.col("doc").alias(c), F.col("class_id").alias(f"{c}_class"))
-        outer = apart.filter((F.col("d") > far) & (F.col("d") <= 2 * far)).withColumnRenamed("doc", "y").withColumnRenamed("d", "dy")
-        outer = outer.join(label("y"), "y", "left").join(label("lead"), "lead", "left")
-        outer = stored(outer.filter(F.coalesce("y_class", "y") != F.coalesce("lead_class", "lead")).select("band", "key", "lead", "y", "dy"))
-        inner = apart.filter(F.col("d") <= far).join(outer.select("band", "key", "lead").distinct(), ["band", "key", "lead"], "left_semi")
-        most = inner.groupBy("band", "key", "lead").count().agg(F.max("count")).first()[0]
-        if most is None:
-            return classes
-        farthest = Window.partitionBy("band", "key", "lead").orderBy(F.desc("d"), "doc")
-        inner = inner.withColumn("n", F.row_number().over(farthest)).filter(F.col("n") <= tries).drop("n")
-        across = inner.join(outer, ["band", "key", "lead"]).filter(F.col("d") >= F.col("dy") - far)
-        known = compared(across.select(F.least("doc", "y").alias("a"), F.greatest("doc", "y").alias("b")).distinct())
-        tries *= 8
+            heads, sims = batch.column(2).is_null().to_pylist(), []
+            for i, head in enumerate(heads):
+                own = hashes[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]
+                if head:
+                    kept = own
+                sims.append(None if head else similarity(kept, own))
+            sims = pa.array(sims, pa.float64())
+            done = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sims], ["a", "b", "sim"])
+            yield done.filter(sims.is_valid())
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), "parts").alias("part"), "b")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    rows = heads.join(texts.withColumnRenamed("doc", "a"), "a").select("a", "part", "b", "text")
+    rows = rows.unionByName(dealt.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "text"))
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(run, "a long, b long, sim double")
+
+
+def shingle_rows(texts: DataFrame, idf) -> DataFrame:
+    """doc, weight (of the text), shingle, w (its weight) of the rows (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text", BATCH_BYTES):
+            words, first = text_words(batch.column(1))
+            hashes, weights, at = shingles(words, first, idf.value)
+            n, docs = np.diff(at), batch.column(0).to_numpy(zero_copy_only=False)
+            columns = np.repeat(docs, n), np.repeat(total_weights(weights, at), n), hashes.view(np.int64), weights.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "weight", "shingle", "w"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, weight double, shingle long, w double")
+
+
+def prefix_pairs(labels: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """All pairs (a, b) of docs of labels (doc, label) that differ in their label and may be of the threshold's similarity.
+
+    Texts of weights x and y have the similarity s only if they share s / (1 + s) (x + y) or more. What follows
+    the first shingle they share bounds what they share, on either side; most is the weight of the heaviest
+    text that the one side still could be similar to.
+    """
+    share = threshold / (1 + threshold)
+    rows = stored(shingle_rows(texts.join(labels, "doc", "left_semi"), idf))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    # from the end of the order on; shingles that no other text has would come first of all
+    back = Window.partitionBy("doc").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    follows = F.sum("w").over(back) * (1 + 1e-9)
+    prefix = rows.join(common, "shingle").withColumn("most", follows / share - F.col("weight"))
+    prefix = stored(prefix.filter(F.col("most") >= threshold * F.col("weight") * (1 - 1e-9)).select("shingle", "doc", "weight", "most").join(labels, "doc"))
+    by_label = prefix.groupBy("shingle", "label").agg(F.count("*").alias("n"), F.min("weight").alias("least"))
+    lists = by_label.groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.min("least").alias("least"), F.sum("n").alias("n"), F.count("*").alias("labels"))
+    lists = lists.filter("labels > 1").select("shingle", "main", "least", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    entries = stored(prefix.join(lists, "shingle").filter("most >= least"))
+    few = entries.filter("label <> main").select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_x") for c in ("doc", "label", "weight", "most")))
+    every = entries.withColumn("part", F.pmod(F.hash("doc"), "parts")).select("shingle", "part", "doc", "label", "weight", "most")
+    found = few.join(every, ["shingle", "part"]).filter("label_x <> label AND weight <= most_x AND weight_x <= most")
+    return found.select(F.least("doc", "doc_x").alias("a"), F.greatest("doc", "doc_x").alias("b")).distinct()
+
+
+def similar_classes(keys: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+    """doc, class_id of all documents linked to another; keys: doc, weight, key (a row a band); texts: doc, text."""
+    leads = keys.groupBy("key").agg(F.min_by("doc", F.struct("weight", "doc")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    seats = stored(keys.join(leads.drop("n"), "key").filter("doc <> lead").select("key", "lead", "doc"))
+    pairs = stored(seats.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    texts = stored(texts.join(asked, "doc", "left_semi").dropDuplicates(["doc"]))
+    linked = lambda pairs: stored(verified(pairs, texts, idf).filter(F.col("sim") >= threshold).select("a", "b"))
+    classes = stored(components(linked(pairs)))
+    labelled = seats.join(classes, "doc", "left").select("key", "doc", F.coalesce("class_id", "doc").alias("label"))
+    contested = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    labels = stored(labelled.join(contested, "key", "left_semi").select("doc", "label").distinct())
+    if labels.isEmpty():
+        return classes
+    more = linked(stored(prefix_pairs(labels, texts, idf, threshold)))
+    label = lambda c: labels.select(F.col("doc").alias(c), F.col("label").alias(f"{c}_label"))
+    joined = stored(components(more.join(label("a"), "a").join(label("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))))
+    joined = joined.withColumnRenamed("class_id", "end")
+    inside = classes.join(joined.withColumnRenamed("doc", "class_id"), "class_id", "left").select("doc", F.coalesce("end", "class_id").alias("class_id"))
+    # texts that only the second round linked are their own labels
+    return inside.unionByName(joined.join(classes, "doc", "left_anti").select("doc", F.col("end").alias("class_id")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -268,6 +282,8 @@ def components(links: DataFrame) -> DataFrame:
     half of the docs, mostly far fewer.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    if edges.isEmpty():
+        return edges.toDF("doc", "class_id")
     ends, levels = edges.select(F.col("v").alias("doc")), []
     while not levels or not edges.isEmpty():
         hook = edges.groupBy("u").agg(F.min("v").alias("p"))
@@ -301,14 +317,12 @@ def document_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     copies = stored(slim.join(equal.filter("n > 1").select("sha", "rep"), "sha").filter("doc <> rep").select("doc", "rep").distinct())
     frequencies, n = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(word_weights(frequencies, n))
-    marks = stored(signatures(keyed.filter("text is not null"), idf).join(copies, "doc", "left_anti").dropDuplicates(["doc"]))
-    keys = marks.select("doc", F.posexplode("keys").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(keys.join(shared, ["band", "key"], "left_semi"))
-    asked = members.select("doc").distinct()
-    texts = stored(keyed.filter("text is not null").join(asked, "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"]))
-    same = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    classes = stored(similar_classes(members, marks.select("doc", "draws"), texts, idf, same, threshold))
+    texts = keyed.filter("text is not null").select("doc", "text")
+    marks = stored(signatures(texts, idf).join(copies, "doc", "left_anti").dropDuplicates(["doc"]))
+    linked = stored(similar_classes(marks.select("doc", "weight", F.explode("keys").alias("key")), texts, idf, threshold))
+    ends = copies.join(linked.withColumnRenamed("doc", "rep"), "rep", "left").select("doc", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    heads = ends.select(F.col("rep").alias("doc"), "class_id").distinct()
+    classes = stored(linked.unionByName(ends.select("doc", "class_id")).unionByName(heads).distinct())
     place = F.struct("id", "doc")
     least = classes.join(slim, "doc").groupBy("class_id").agg(F.min(place).alias("least"))
     named = classes.join(least, "class_id").select("doc", "least")
