@@ -1,11 +1,12 @@
-"""Shared pieces: the scratch folder, size estimates, Arrow batches, numpy text kernels."""
+"""Shared pieces: the scratch folder, clashing names, Arrow batches, numpy text kernels."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, as in tests, a local session
+    gets one of its own; a cluster's executors would not see it, so there it has to be set."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
@@ -61,9 +66,26 @@ def drop_stored(tables: list[tuple[SparkSession, str]] | None = None, keep: Data
 atexit.register(drop_stored)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size: file sizes for a scan. Costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without columns of these names: an operator's new columns replace those that are called the same."""
+    return docs.drop(*[c for c in docs.columns if c.lower() in names])
+
+
+def set_aside(prefix: str, *new: str) -> Callable:
+    """For an operator (docs, ...): its new columns replace others of their names; columns whose names start
+    like its inner ones are renamed while it works, so they come out as they went in."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            docs = without(docs, *new)
+            held = {c: f"held_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower().startswith(prefix)}
+            out = operator(docs.withColumnsRenamed(held), *args, **options)
+            return out.withColumnsRenamed({v: k for k, v in held.items()})
+
+        return run
+
+    return wrap
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -12,10 +12,11 @@ nothing left to link. The texts of all other keys (the contested ones) are joine
 no link: shingles are ordered from those in the fewest contested texts on; the first shingle that two texts
 share leaves each of them at most the weight that follows it, so a pair is compared only if that could be
 enough, and only if its classes differ. In a group of texts that resemble each other less than THRESHOLD
-asks for, the rare shingles that each has of its own use up that weight, so hardly a pair is left; a list of
-a shingle is joined with those of its entries that are not of its largest class, in parts of PART entries.
-So the work is linear in a large group of copies, near copies or texts that share a passage, and the
-rounds are two, whatever the size of the groups.
+asks for, the rare shingles that each has of its own use up that weight, so hardly a pair is left. The entries
+of a shingle's list are first compared with one of its largest class, which joins classes that only their
+leaders kept apart, then with all entries of other classes, in parts of PART entries. So the work is linear
+in a large group of copies, near copies or texts that share a passage, and there are three comparisons,
+whatever the size of the groups.
 
 Document frequencies are counted over all documents in BINS hashed bins (frequent words keep their own
 counts; rare ones share bins), so the table has one size for any corpus.
@@ -28,7 +29,7 @@ smallest labels, a logarithmic number of rounds; nothing but the bins is collect
 Defined cases: null and blank texts are only equal to themselves among rows (null is no copy of anything);
 texts under five words are grouped by equal text only; a null doc_id is above all others; a document is known by a hash of its doc_id
 and text, so rows of one doc_id and different texts, as null ids, are documents of their own (a class of null ids
-only has a null class_id); an empty table gives an empty result.
+only has a null class_id); an empty table gives an empty result; other columns stay where rows are kept.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, gram_hashes, mix64, runs, spread, stored, text_batches, text_bytes, word_bounds, word_hashes
+from tessera.llm.common import NULL_ID, gram_hashes, mix64, runs, set_aside, spread, stored, text_batches, text_bytes, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 17 bands of 6 draws: two texts of similarity 0.8 share a key with probability 0.994, of 0.85 with 0.9998.
@@ -226,8 +227,8 @@ def shingle_rows(texts: DataFrame, idf) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "doc long, weight double, shingle long, w double")
 
 
-def prefix_pairs(labels: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """All pairs (a, b) of docs of labels (doc, label) that differ in their label and may be of the threshold's similarity.
+def prefix_entries(labels: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """shingle, doc, weight, most: the shingles that a doc of labels (doc, ...) may share first with a similar one.
 
     Texts of weights x and y have the similarity s only if they share s / (1 + s) (x + y) or more. What follows
     the first shingle they share bounds what they share, on either side; most is the weight of the heaviest
@@ -240,19 +241,49 @@ def prefix_pairs(labels: DataFrame, texts: DataFrame, idf, threshold: float) ->
     back = Window.partitionBy("doc").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
     follows = F.sum("w").over(back) * (1 + 1e-9)
     prefix = rows.join(common, "shingle").withColumn("most", follows / share - F.col("weight"))
-    prefix = stored(prefix.filter(F.col("most") >= threshold * F.col("weight") * (1 - 1e-9)).select("shingle", "doc", "weight", "most").join(labels, "doc"))
-    by_label = prefix.groupBy("shingle", "label").agg(F.count("*").alias("n"), F.min("weight").alias("least"))
-    lists = by_label.groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.min("least").alias("least"), F.sum("n").alias("n"), F.count("*").alias("labels"))
-    lists = lists.filter("labels > 1").select("shingle", "main", "least", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    entries = stored(prefix.join(lists, "shingle").filter("most >= least"))
+    return stored(prefix.filter(F.col("most") >= threshold * F.col("weight") * (1 - 1e-9)).select("shingle", "doc", "weight", "most"))
+
+
+def shared_lists(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of the shingles that docs of several labels share, with their label, main (the largest of
+    the shingle's labels), its entry that could be similar to the heaviest text, and the list's parts."""
+    entries = prefix.join(labels, "doc")
+    best = F.max_by(F.struct("doc", "weight", "most"), F.struct("most", "doc"))
+    by_label = entries.groupBy("shingle", "label").agg(F.count("*").alias("n"), F.min("weight").alias("least"), best.alias("best"))
+    largest = F.max_by(F.struct("label", "best"), F.struct("n", "label"))
+    lists = by_label.groupBy("shingle").agg(largest.alias("main"), F.min("least").alias("least"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
+    lists = lists.select("shingle", F.col("main.label").alias("main"), F.col("main.best").alias("best"), "least", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    return stored(entries.join(lists, "shingle").filter("most >= least").drop("least"))
+
+
+_NEAR = "label_x <> label AND weight <= most_x AND weight_x <= most"
+
+
+def star_pairs(entries: DataFrame) -> DataFrame:
+    """a, b: each entry of shared_lists() outside its list's main label with that label's best entry."""
+    found = entries.withColumns({"label_x": F.col("main"), "doc_x": F.col("best.doc"), "weight_x": F.col("best.weight"), "most_x": F.col("best.most")})
+    return ordered_pairs(found.filter(_NEAR))
+
+
+def list_pairs(entries: DataFrame) -> DataFrame:
+    """a, b: all pairs of entries of one list that differ in their label and may be of the threshold's similarity."""
     few = entries.filter("label <> main").select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_x") for c in ("doc", "label", "weight", "most")))
     every = entries.withColumn("part", F.pmod(F.hash("doc"), "parts")).select("shingle", "part", "doc", "label", "weight", "most")
-    found = few.join(every, ["shingle", "part"]).filter("label_x <> label AND weight <= most_x AND weight_x <= most")
+    return ordered_pairs(few.join(every, ["shingle", "part"]).filter(_NEAR))
+
+
+def ordered_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("doc", "doc_x").alias("a"), F.greatest("doc", "doc_x").alias("b")).distinct()
 
 
+def prefix_pairs(labels: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """All pairs (a, b) of docs of labels (doc, label) that differ in their label and may be of the threshold's similarity."""
+    return list_pairs(shared_lists(prefix_entries(labels, texts, idf, threshold), labels))
+
+
 def similar_classes(keys: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
-    """doc, class_id of all documents linked to another; keys: doc, weight, key (a row a band); texts: doc, text."""
+    """doc, class_id of all documents linked to another, and of some that are not; keys: doc, weight, key (a row
+    a band); texts: doc, text."""
     leads = keys.groupBy("key").agg(F.min_by("doc", F.struct("weight", "doc")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
     seats = stored(keys.join(leads.drop("n"), "key").filter("doc <> lead").select("key", "lead", "doc"))
     pairs = stored(seats.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
@@ -265,13 +296,17 @@ def similar_classes(keys: DataFrame, texts: DataFrame, idf, threshold: float = T
     labels = stored(labelled.join(contested, "key", "left_semi").select("doc", "label").distinct())
     if labels.isEmpty():
         return classes
-    more = linked(stored(prefix_pairs(labels, texts, idf, threshold)))
-    label = lambda c: labels.select(F.col("doc").alias(c), F.col("label").alias(f"{c}_label"))
-    joined = stored(components(more.join(label("a"), "a").join(label("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))))
-    joined = joined.withColumnRenamed("class_id", "end")
-    inside = classes.join(joined.withColumnRenamed("doc", "class_id"), "class_id", "left").select("doc", F.coalesce("end", "class_id").alias("class_id"))
-    # texts that only the second round linked are their own labels
-    return inside.unionByName(joined.join(classes, "doc", "left_anti").select("doc", F.col("end").alias("class_id")))
+    classes = classes.unionByName(labels.join(classes, "doc", "left_anti").select("doc", F.col("doc").alias("class_id")))
+    prefix = prefix_entries(labels, texts, idf, threshold)
+    # large classes that only their leaders kept apart are joined by few pairs first, so all pairs are fewer
+    for pairs_of in (star_pairs, list_pairs):
+        links = linked(stored(pairs_of(shared_lists(prefix, labels))))
+        label = lambda c, labels=labels: labels.select(F.col("doc").alias(c), F.col("label").alias(f"{c}_label"))
+        joined = stored(components(links.join(label("a"), "a").join(label("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))))
+        end = lambda c, joined=joined: joined.select(F.col("doc").alias(c), F.col("class_id").alias("end"))
+        classes = classes.join(end("class_id"), "class_id", "left").select("doc", F.coalesce("end", "class_id").alias("class_id"))
+        labels = stored(labels.join(end("label"), "label", "left").select("doc", F.coalesce("end", "label").alias("label")))
+    return classes
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -335,6 +370,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return document_classes(docs, threshold).select(F.nullif("id", null).alias("doc_id"), F.nullif("least.id", null).alias("class_id"))
 
 
+@set_aside("near_")
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs of which each class keeps one row of its smallest doc_id; null texts all stay."""
     found = stored(document_classes(docs, threshold).filter("sha is not null").select(F.col("doc").alias("near_doc"), (F.col("doc") != F.col("least.doc")).alias("gone")))
