@@ -4,20 +4,23 @@ Edges of the graph are k consecutive words (windows). An edge repeats if a docum
 holds it too; the words under repeated edges go. Neighbouring edges share their smallest 5-gram hash (their
 minimizer), so they are kept together as one stretch and sent to the bucket of that minimizer; equal edges
 meet in the same bucket. There repeated edges with neighbouring coordinates in both documents compact into
-one piece of a path; a document's pieces are glued to paths where one goes on in the next on both sides.
+one piece. Pieces compact into nonbranching paths by joins: a path begins at a piece that no piece goes on
+to in both documents, and ends at one that none goes on from, which is where the graph branches for the two;
+the nth beginning belongs to the nth end on the same diagonal of the two documents' coordinates.
 Paths are joined to their documents and to their sources by doc_id and a hash of the text, the words at both
 coordinates are compared by digest, and the verified paths are cut from the text. The windows of a path that
 fails are sought again in all documents by digests of their words, so a hash that two windows share neither
 removes nor saves anything.
 
-Scale: one shuffle of 7 bytes a window (56 bits of its hash), one of the pieces, one of the texts, and of
+Scale: one shuffle of HASH_BYTES a window, few of the pieces and paths, one of the texts, and of
 the paths' coordinates and digests. Within a batch of texts only the smallest document of each edge
 is sent, so a passage in a third of all documents reaches its bucket once a batch. Buckets are as many as
-the input has MB, at least twice the shuffle partitions.
+the texts have MB, at least twice the shuffle partitions.
 
 Defined cases: a null text has no words; a null doc_id is above all others; texts under k words lose
 nothing; equal doc_ids, and so null ones, are not smaller than each other; rows that repeat a doc_id have
-removals of their own unless their texts are equal too; an empty table gives an empty result; other columns stay.
+removals of their own unless their texts are equal too; an empty table gives an empty result; other columns
+stay, but for those named like the new ones, which these replace.
 """
 
 from __future__ import annotations
@@ -29,15 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import NULL_ID, gram_hashes, input_bytes, mix64, runs, shuffle_partitions, spread, stored, text_batches, text_bytes, word_bounds, word_hashes
+from tessera.llm.common import NULL_ID, gram_hashes, mix64, runs, set_aside, shuffle_partitions, spread, stored, text_batches, text_bytes, word_bounds, word_hashes
 
 WINDOW, GRAM = 13, 5
 BATCH_BYTES = 6 << 20
-HASH_BYTES = 7
+#: All of a window's hash is sent; the digests that follow decide.
+HASH_BYTES = 8
+MOST_BUCKETS = 1 << 30
 _PIECES = "sub_doc long, sub_row long, sub_start int, sub_n int, sub_source long, sub_from long, sub_at int"
 
 
@@ -179,35 +184,29 @@ def row_keys(docs: DataFrame) -> DataFrame:
 def repeated_pieces(docs: DataFrame, k: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """sub_doc, sub_row, sub_start, sub_n: from word sub_start on, sub_n windows of the document also start, one
     word apart from sub_at on, in the document sub_source (its row sub_from), the smallest that holds them."""
-    buckets = max(2 * shuffle_partitions(docs.sparkSession), input_bytes(docs) >> 20)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(2 * shuffle_partitions(docs.sparkSession), size >> 20))
     sent = row_keys(docs).select("sub_doc", "sub_row", "text").mapInArrow(_edges(buckets, k, gram, HASH_BYTES), "sub_bucket int, sub_found boolean, sub_blob binary")
     return sent.groupBy("sub_bucket").applyInArrow(_repeats(HASH_BYTES), _PIECES)
 
 
-_PATHS = "array<struct<start:int,n:int,source:long,from:long,at:int>>"
-
-
-def _glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's pieces, sorted and joined to paths where one goes on in the next on both sides."""
-    for batch in batches:
-        out = []
-        for held in batch.column(2).to_pylist():
-            paths: list[dict] = []
-            for p in sorted(held, key=lambda p: p["start"]):
-                last = paths[-1] if paths else None
-                if last and (last["start"] + last["n"], last["source"], last["from"], last["at"] + last["n"]) == (p["start"], p["source"], p["from"], p["at"]):
-                    last["n"] += p["n"]
-                else:
-                    paths.append(p)
-            out.append(paths)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(2).type)], ["sub_doc", "sub_row", "sub_paths"])
+def compacted(pieces: DataFrame) -> DataFrame:
+    """The nonbranching paths of pieces (rows of _PIECES), in the same form."""
+    # one diagonal: what a document's words are moved by in the source
+    keyed = pieces.withColumn("sub_diag", F.col("sub_at") - F.col("sub_start")).withColumn("sub_end", F.col("sub_start") + F.col("sub_n"))
+    way = ["sub_doc", "sub_row", "sub_source", "sub_from", "sub_diag"]
+    begins = keyed.join(keyed.select(*way, F.col("sub_end").alias("sub_start")), [*way, "sub_start"], "left_anti").select(*way, "sub_start")
+    ends = keyed.join(keyed.select(*way, F.col("sub_start").alias("sub_end")), [*way, "sub_end"], "left_anti").select(*way, "sub_end")
+    nth = lambda c: F.row_number().over(Window.partitionBy(*way).orderBy(c)).alias("sub_nth")
+    paths = begins.select(*way, "sub_start", nth("sub_start")).join(ends.select(*way, "sub_end", nth("sub_end")), [*way, "sub_nth"])
+    return paths.select("sub_doc", "sub_row", "sub_start", (F.col("sub_end") - F.col("sub_start")).alias("sub_n"), "sub_source", "sub_from", (F.col("sub_start") + F.col("sub_diag")).alias("sub_at"))
 
 
 def repeated_paths(docs: DataFrame, k: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """sub_doc, sub_row, sub_paths: the repeated paths of each document that has any."""
-    piece = F.struct(F.col("sub_start").alias("start"), F.col("sub_n").alias("n"), F.col("sub_source").alias("source"), F.col("sub_from").alias("from"), F.col("sub_at").alias("at"))
-    found = repeated_pieces(docs, k, gram).groupBy("sub_doc", "sub_row").agg(F.collect_set(piece).alias("sub_paths"))
-    return found.mapInArrow(_glue, f"sub_doc long, sub_row long, sub_paths {_PATHS}")
+    paths = compacted(stored(repeated_pieces(docs, k, gram).distinct()))
+    path = F.struct(F.col("sub_start").alias("start"), F.col("sub_n").alias("n"), F.col("sub_source").alias("source"), F.col("sub_from").alias("from"), F.col("sub_at").alias("at"))
+    return paths.groupBy("sub_doc", "sub_row").agg(F.sort_array(F.collect_list(path)).alias("sub_paths"))
 
 
 _OWN = "array<struct<start:int,n:int,source:long,from:long,at:int,words:binary>>"
@@ -311,6 +310,7 @@ def sought(docs: DataFrame, failed: DataFrame, k: int) -> DataFrame:
     return found.select("sub_doc", "sub_row", F.struct("start", F.lit(1).alias("n"), "low.source", "low.from", "low.at").alias("p"))
 
 
+@set_aside("sub_", "n_words", "n_removed", "n_paths", "kept_sha256")
 def remove_repeats(docs: DataFrame, k: int = WINDOW, gram: int = GRAM, keep_text: bool = True) -> DataFrame:
     """docs without the words under repeated windows of k words, and n_words, n_removed, n_paths (the
     repeated paths) and kept_sha256. Kept words are joined by one space. Without keep_text, text is left out."""
