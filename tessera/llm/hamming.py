@@ -7,9 +7,11 @@ other. After radius r in the first j+1 segments and r-1 in the others every code
 (j+1)(r+1) + (m-j-1)r - 1 bits has been met, so the search ends once the kth verified distance is not
 above that: the k nearest, ties by id, are then proven.
 
-Scale: the index is dealt in blocks of BLOCK_ROWS by a hash of the id, queries in blocks of QUERY_ROWS;
-each query block meets each index block once, which gives its k best, and the best of those are taken by
-query. Of equal codes in a block the k smallest ids are enough, so large groups of equal vectors cost
+Scale: the index is dealt in blocks of BLOCK_ROWS by a hash of the id. A block is shipped and indexed once
+(while there are fewer blocks than tasks, once for each of a few groups of queries), and all queries stream
+past it in parts of QUERY_ROWS, 16 bytes a query; a query set of a fixed share of the rows against all rows,
+in blocks. The k best of each block meet by query; a window keeps the k best of them.
+Of equal codes in a block the k smallest ids are enough, so large groups of equal vectors cost
 nothing. Recall against brute force is 1: the result is exact.
 
 Defined cases: null vectors (or null values in them) have no code: they are neither found nor searched
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import shuffle_partitions, stored
 
 BITS, K = 64, 10
-BLOCK_ROWS, QUERY_ROWS = 1 << 18, 1 << 11
+BLOCK_ROWS, QUERY_ROWS = 1 << 20, 1 << 11
 #: Lookups that are expanded at a time.
 PROBES = 1 << 21
 _U = np.uint64
@@ -139,28 +141,36 @@ class Index:
         return q[place < self.k], d[place < self.k], r[place < self.k]
 
 
+def shipped(rows: DataFrame, asked: DataFrame, blocks: int, parts: int, groups: int) -> DataFrame:
+    """block, team, part, ids, codes: every block of rows once a team (part NULL), and every part of asked
+    once a block, in the team that the part belongs to. Sorted so that a block comes before its queries."""
+    index = packed(rows, F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    index = index.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("team"), F.lit(None).cast("int").alias("part"), "ids", "codes")
+    wanted = packed(asked.select(F.monotonically_increasing_id().alias("serial"), "id", "code"), F.pmod(F.xxhash64("serial"), F.lit(parts)))
+    wanted = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("to"), F.pmod("block", F.lit(groups)).alias("team"), F.col("block").alias("part"), "ids", "codes")
+    every = index.unionByName(wanted.withColumnRenamed("to", "block"))
+    return every.repartition(min(blocks * groups, 1 << 14), "block", "team").sortWithinPartitions("block", "team", F.asc_nulls_first("part"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, id, distance: the k rows of vectors (id, embedding) nearest to each row of queries."""
     rows, asked = stored(coded(vectors)), stored(coded(queries))
     blocks = -(-max(rows.count(), 1) // block_rows)
     parts = -(-max(asked.count(), 1) // query_rows)
-    index = packed(rows, F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    wanted = packed(asked.select(F.monotonically_increasing_id().alias("serial"), "id", "code"), F.pmod(F.xxhash64("serial"), F.lit(parts)))
-    wanted = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("block").alias("part"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"))
+    groups = max(1, min(parts, shuffle_partitions(vectors.sparkSession) // blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, built = None, None
         for batch in batches:
-            for block, part, ids, codes, q_ids, q_codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != last:
-                    last, built = block, Index(np.frombuffer(ids, "<i8"), np.frombuffer(codes, "<u8"), k)
-                asked_ids = np.frombuffer(q_ids, "<i8")
-                query, found, distance = built.search(np.frombuffer(q_codes, "<u8"))
-                serial = (np.int64(part) << 32) + query
-                yield pa.RecordBatch.from_arrays([pa.array(serial), pa.array(asked_ids[query]), pa.array(found), pa.array(distance.astype(np.int32))], ["serial", "query_id", "id", "distance"])
-
-    pairs = wanted.join(index, "block").select("block", "part", "ids", "codes", "q_ids", "q_codes")
-    pairs = pairs.repartition(max(1, min(blocks * parts, 4096)), "block", "part").sortWithinPartitions("block")
-    found = pairs.mapInArrow(run, "serial long, query_id long, id long, distance int")
+            for block, team, part, ids, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held, found = np.frombuffer(ids, "<i8"), np.frombuffer(codes, "<u8")
+                if part is None:
+                    last, built = (block, team), Index(held, found, k)
+                elif last == (block, team):  # else nothing hashed to this block
+                    query, near, distance = built.search(found)
+                    serial = (np.int64(part) << 32) + query
+                    yield pa.RecordBatch.from_arrays([pa.array(serial), pa.array(held[query]), pa.array(near), pa.array(distance.astype(np.int32))], ["serial", "query_id", "id", "distance"])
+
+    found = shipped(rows, asked, blocks, parts, groups).mapInArrow(run, "serial long, query_id long, id long, distance int")
     rank = F.row_number().over(Window.partitionBy("serial").orderBy("distance", "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
