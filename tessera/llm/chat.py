@@ -12,7 +12,8 @@ Scale: joins and groups are by tree and node; paths need log2(depth) rounds, eac
 shared folder. A conversation becomes one row, so its length bounds a task's largest group; ranking cuts
 before the shuffle. Defined cases: null text and null role are empty; a null conversation id is one
 conversation of its own; rows that repeat a turn stand one after the other, by role and text; a missing
-parent makes a root; a cycle raises ValueError; an empty table gives an empty result.
+parent makes a root; a cycle raises ValueError; an empty table gives an empty result; other columns of the
+turns or nodes are not looked at and not returned.
 """
 
 from __future__ import annotations
@@ -40,12 +41,14 @@ def unescaped(text: Column) -> Column:
 
 
 def threads(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text rows as nodes of unbranched trees: each turn answers the one before."""
+    """conv_id, turn, role, text rows as nodes of unbranched trees: each turn answers the one before. A
+    node's score is the length of its text."""
+    turns = turns.select("conv_id", "turn", "role", "text")
     tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     nodes = turns.withColumn("tree", tree).withColumn("node", F.row_number().over(order))
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
-    return nodes.select("tree", F.col("node").cast("long"), parent.cast("long").alias("parent"), "conv_id", "role", "text", F.lit(0.0).alias("score"))
+    return nodes.select("tree", F.col("node").cast("long"), parent.cast("long").alias("parent"), "conv_id", "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"))
 
 
 def paths(nodes: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def paths(nodes: DataFrame) -> DataFrame:
 def format_trees(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """A row for each chosen path: tree, conv_id, leaf, n_turns, formatted and loss_spans. best: the paths
     chosen of each tree, with path_score and branch, the rank in the tree; None: all, unranked."""
-    nodes = stored(nodes)
+    nodes = stored(nodes.select("tree", "node", "parent", "conv_id", "role", "text", "score"))
     way = paths(nodes)
     if best is not None:
         scored = way.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"))

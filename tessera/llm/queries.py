@@ -117,7 +117,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    out = chat.format_trees(chat.threads(turns.unionByName(probe)))
+    out = chat.format_trees(chat.threads(turns.unionByName(probe)), best=1)
     loss, back = chat.read_loss(F.col("formatted"), F.col("loss_spans")), chat.read_turns(F.col("formatted"))
     lines = F.array_join(F.transform(back, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     out = out.withColumn("loss", loss)
