@@ -10,7 +10,9 @@ becomes byte pieces.
 Scale: rows stand alone, no shuffle; a task holds one batch of bounded bytes and the vocabulary. Units are
 matched once a batch, so common words cost once. Defined cases: null text gives null ids, empty text
 none; the model's own white-space mark in a text decodes to a space, as the format has it; unpaired
-surrogates can't occur in Spark strings; other columns stay.
+surrogates can't occur in Spark strings; other columns stay, but for those named like the new ones, which
+these replace. load() refuses models that break what is assumed here: a byte-pair model that changes texts
+only by marking spaces, without pieces of LONGEST characters or pieces that go on over a word's end.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import spread, text_batches
+from tessera.llm.common import spread, text_batches, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BATCH_BYTES = 6 << 20
 #: So many characters of different units have one suffix array.
 INDEX_CHARS = 1 << 20
+#: A piece's length is packed with its position: load() refuses pieces of so many characters.
+LONGEST = 32
 #: Stretches of more characters are merged by a heap, the others side by side.
 LONG = 256
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -56,10 +60,54 @@ class Pieces:
     sizes: np.ndarray
 
 
+def message_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a serialized message's fields: whole numbers, or the bytes of other kinds."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or varint()
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def check_model(data: bytes) -> None:
+    """Raises ValueError for a model that this encoder would read wrongly: no byte-pair model, or one that
+    changes texts other than by marking spaces. Fixed values: the numbers of the public format's fields."""
+    trainer = normalizer = b""
+    for field, value in message_fields(data):
+        if field == 2:
+            trainer = value
+        elif field == 3:
+            normalizer = value
+    if dict(message_fields(trainer)).get(3, 1) != 2:
+        raise ValueError("the model is no byte-pair model")
+    rules = dict(message_fields(normalizer))
+    if rules.get(2) or rules.get(3, 1) != 1 or rules.get(4, 1) != 0 or rules.get(5, 1) != 1:
+        raise ValueError("the model normalizes texts")
+
+
 @lru_cache(maxsize=2)
 def load(path: str = MODEL) -> Pieces:
     import sentencepiece
 
+    with open(path, "rb") as f:
+        check_model(f.read())
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.vocab_size()
     texts = [model.id_to_piece(i) for i in range(n)]
@@ -72,6 +120,10 @@ def load(path: str = MODEL) -> Pieces:
             byte[int(texts[i][3:5], 16)] = i
     spell = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else t.replace(MARK, " ").encode() for i, t in enumerate(texts)]
     kept = [texts[i] for i in plain]
+    if max(map(len, kept)) >= LONGEST:
+        raise ValueError(f"a piece has {LONGEST} characters or more")
+    if any(MARK in t.lstrip(MARK) for t in kept):
+        raise ValueError("a piece goes on over a word's end")
     points = np.frombuffer("".join(kept).encode("utf-32-le"), np.uint32)
     return Pieces(np.array(plain), kept, rank, {ord(t): i for i, t in zip(plain, kept, strict=True) if len(t) == 1}, byte, spell, max(map(len, kept)), model.unk_id(), points, np.array([len(t) for t in kept]))
 
@@ -108,7 +160,7 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
 
 
 def edges(x: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """All occurrences of pieces in x, sorted by position and length (position * 32 + length), and their ids.
+    """All occurrences of pieces in x, sorted by position and length (position * LONGEST + length), and their ids.
 
     The pieces are matched in the suffix array one character after the other: the range of suffixes that
     start with a piece's first j characters is narrowed by binary search on the j+1st.
@@ -138,14 +190,14 @@ def edges(x: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray]:
                 lo[live], hi[live] = first, a
     found = np.maximum(hi - lo, 0)
     at = order[spread(lo, found)]
-    key = ((at * 32 + np.repeat(sizes, found)) << 32) | np.repeat(vocabulary.ids, found)
+    key = ((at * LONGEST + np.repeat(sizes, found)) << 32) | np.repeat(vocabulary.ids, found)
     key.sort()
     return key >> 32, key & 0xFFFFFFFF
 
 
 def segments(starts: np.ndarray, total: int, key: np.ndarray) -> np.ndarray:
     """Where stretches start that no piece goes across, units' starts among them: merges stay within."""
-    size, at = key & 31, key >> 5
+    size, at = key % LONGEST, key // LONGEST
     change = np.bincount(at[size > 1] + 1, minlength=total + 1) - np.bincount((at + size)[size > 1], minlength=total + 1)
     free = np.cumsum(change)[:total] == 0
     free[starts] = True
@@ -160,8 +212,8 @@ def relax_long(begin: int, end: int, key: np.ndarray, rank: np.ndarray) -> tuple
 
     def offer(left: int) -> None:
         right = after[left]
-        if right < n and after[right] - left < 32:
-            k = (begin + left) * 32 + after[right] - left
+        if right < n and after[right] - left < LONGEST:
+            k = (begin + left) * LONGEST + after[right] - left
             i = int(np.searchsorted(key, k))
             if i < len(key) and key[i] == k:
                 heappush(heap, (int(rank[i]), left, after[right]))
@@ -197,9 +249,9 @@ def relax(starts: np.ndarray, ends: np.ndarray, key: np.ndarray, ids: np.ndarray
 
     def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank and place of the edge from a to b; worst where there is none."""
-        k = a * 32 + (b - a)
+        k = a * LONGEST + (b - a)
         i = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
-        hit = (b - a < 32) & (key[i] == k) if len(key) else np.zeros(len(a), bool)
+        hit = (b - a < LONGEST) & (key[i] == k) if len(key) else np.zeros(len(a), bool)
         return np.where(hit, rank[i] * wide + a, worst) if len(key) else np.full(len(a), worst)
 
     done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -267,8 +319,8 @@ def encode_part(units: list[str], vocabulary: Pieces) -> tuple[np.ndarray, np.nd
     key, ids = edges(x, vocabulary)
     a, b = relax(starts, ends, key, ids, vocabulary)
     if len(key):
-        i = np.minimum(np.searchsorted(key, a * 32 + (b - a)), len(key) - 1)
-        known = key[i] == a * 32 + (b - a)
+        i = np.minimum(np.searchsorted(key, a * LONGEST + (b - a)), len(key) - 1)
+        known = key[i] == a * LONGEST + (b - a)
         out = np.where(known, ids[i], -1)
     else:
         out = np.full(len(a), -1)
@@ -332,6 +384,7 @@ def _run(path: str, keep_ids: bool, digests: bool):
 def encode(docs: DataFrame, path: str = MODEL, keep: bool = True, digests: bool = False) -> DataFrame:
     """docs with n_tokens and, if kept, ids; with digests also the ids' and the decoded text's SHA-256 and
     whether decoding gives the text again. Without keep, text and ids are left out."""
+    docs = without(docs, "n_tokens", *["ids"] * keep, *["ids_sha256", "decoded_sha256", "round_trip"] * digests)
     fields = [f for f in docs.schema.fields if keep or f.name != "text"]
     schema = T.StructType(fields).add("n_tokens", "long")
     if keep:
@@ -343,6 +396,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep: bool = True, digests: bool
 
 def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     """rows (with ids) and decoded, the text the ids spell; null ids: null."""
+    rows = without(rows, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path)
