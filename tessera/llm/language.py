@@ -11,7 +11,8 @@ chosen by a hash of the id; everything else covers all rows.
 
 Defined cases: null text or text without a letter is `und` with score 0; rows with null lang or null
 doc_id don't teach; without any teaching row every text is `und`; ties go to the first language by code
-point; very long texts are taken whole, block by block; equal texts get equal results.
+point; very long texts are taken whole, block by block; equal texts get equal results; other columns stay, but
+for lang_pred and score, which the new ones replace.
 """
 
 from __future__ import annotations

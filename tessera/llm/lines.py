@@ -17,7 +17,8 @@ All shuffles carry hashes and coordinates; the texts are shuffled once, and thos
 
 Defined cases: null text has no lines and stays null; a null doc_id is above all others; of rows
 with equal doc_ids and texts one keeps its lines, the others lose all that have words; very long lines give as many variants as they have words, each in constant
-time; an empty table gives an empty result; other columns stay.
+time; an empty table gives an empty result; other columns stay, but for those named like the new ones, which
+these replace.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, WORD, stored
+from tessera.llm.common import NULL_ID, WORD, set_aside, stored
 
 MIN_WORDS = 8
 _LOW, _HIGH = 0xFFFFFFFF, 32
@@ -125,6 +126,7 @@ def near_drops(lines: DataFrame) -> DataFrame:
     return pairs.filter(one_edit(F.col("words"), F.col("lead_words"))).select(*_ROW, "line_at").distinct()
 
 
+@set_aside("line_", "n_lines", "n_removed", "kept_sha256")
 def dedup_lines(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """docs without the lines that go, and n_lines, n_removed and kept_sha256 (of the kept lines, joined by
     newlines). Without keep_text, text is left out."""

@@ -10,7 +10,9 @@ is found from histograms of the finish times and a sort of the one narrow bin th
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own,
 last in order; an empty table gives an empty mix; rows that repeat a doc_id, or have none, are documents
-of their own, each takes its own turn, by a digest of its text; other columns are carried along (names starting with _mix are reserved).
+of their own, each takes its own turn, by a digest of its text; other columns are carried along, but for
+those named like the new ones, which these replace. Sources are names of collections: one row a source goes
+through one task to be ranked, 64 bytes each, so a million sources are as good as none.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, word_count
+from tessera.llm.common import set_aside, stored, word_count
 
 #: Weights by the sources' code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -53,6 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levels.select("_mix_source", "_mix_source_size", F.when(full, F.col("_mix_cap").cast("double")).otherwise(F.col("_mix_level") * F.col("_mix_weight")).alias("_mix_target"))
 
 
+@set_aside("_mix", "_mix_size", "_mix_source_size", "_mix_target", "_mix_copies", "_mix_time")
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "mix") -> DataFrame:
     """docs (doc_id, text, source, ...) and _mix_size, _mix_source_size, _mix_target, _mix_copies, _mix_time.
 

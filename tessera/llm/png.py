@@ -6,7 +6,7 @@ frequencies of a cosine transform of the image, shrunk to 32 by 32 by area.
 
 Scale: rows stand alone, no shuffle; a task holds one Arrow batch. Defined cases: null and empty text is
 one row of zeros; equal texts give equal bytes; damaged files raise MediaError; other columns are kept
-by encode() and decode().
+by encode() and decode(), but for those named like the new ones, which these replace.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import text_batches
+from tessera.llm.common import text_batches, without
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -169,6 +169,7 @@ def _encode(batches: Iterator[pa.RecordBatch], kind: int, level: int, keep: bool
 
 def encode(docs: DataFrame, row_filter: int = 2, level: int = 1, keep_text: bool = True) -> DataFrame:
     """docs with n_bytes and media, the text as a PNG file."""
+    docs = without(docs, "n_bytes", "media")
     fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     return docs.mapInArrow(lambda b: _encode(b, row_filter, level, keep_text), schema)
@@ -195,6 +196,7 @@ _FEATURES = [("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc
 
 def decode(media: DataFrame, keep_media: bool = True) -> DataFrame:
     """Reads the media column back; adds sizes, digests and the feature."""
+    media = without(media, *[name for name, _ in _FEATURES])
     fields = [f for f in media.schema.fields if keep_media or f.name != "media"]
     schema = T.StructType(fields)
     for name, kind in _FEATURES:
