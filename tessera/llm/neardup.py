@@ -288,7 +288,8 @@ def similar_classes(keys: DataFrame, texts: DataFrame, idf, threshold: float = T
     seats = stored(keys.join(leads.drop("n"), "key").filter("doc <> lead").select("key", "lead", "doc"))
     pairs = stored(seats.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = stored(texts.join(asked, "doc", "left_semi").dropDuplicates(["doc"]))
+    # asked grows with the corpus: the join's plan is the one for large tables at every size
+    texts = stored(texts.join(asked.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
     linked = lambda pairs: stored(verified(pairs, texts, idf).filter(F.col("sim") >= threshold).select("a", "b"))
     classes = stored(components(linked(pairs)))
     labelled = seats.join(classes, "doc", "left").select("key", "doc", F.coalesce("class_id", "doc").alias("label"))
