@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Tolerance of threshold tests, in percent points; movement below MOVEMENT counts as none.
 RATE_EPSILON = 1e-9
 MOVEMENT = 1e-4
+T = TypeVar("T")
 
 
 def rate(hit: Column, total: Column) -> Column:
@@ -68,5 +72,10 @@ def match_change(change: Column, *, added: Column, removed: Column, newly_hit: C
     return F.when(change == "Added", added).when(change == "Removed", removed).when(change == "NewlyHit", newly_hit).when(change == "NewlyMissed", newly_missed)
 
 
+def switch_change(change: str, *, added: Callable[[], T], removed: Callable[[], T], newly_hit: Callable[[], T], newly_missed: Callable[[], T]) -> T:
+    """Calls what belongs to one collected line change; all four must be given."""
+    return {"Added": added, "Removed": removed, "NewlyHit": newly_hit, "NewlyMissed": newly_missed}[change]()
+
+
 def _col(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.names import arity, demangled
@@ -39,28 +39,43 @@ class Crap:
     unmatched: DataFrame | None
 
 
-def logical_methods(lines: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Source methods (type_key, method_key, sig, folded, embedded, file, doc_ord) and their lines, with what
-    compilers made of a method's body folded into it if exactly one method of the name is there."""
+def logical_methods(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """Source methods (type_key, method_key, sig, folded, embedded, file, doc_ord) with hit, total and
+    start_line of their lines; what compilers made of a method's body is folded into it if exactly one method
+    of the name is there.
+
+    Headers and lines go through one flow: they are dealt by the method's name once, and the window and all
+    aggregations after it keep that dealing.
+    """
     names = headers.select("class", "method").distinct().withColumn("x", demangled(F.col("class"), F.col("method")))
     names = names.select("class", "method", "x.*").filter("type_key is not null")
-    sig = F.when(F.col("folded"), FOLDED).otherwise(F.col("signature"))
-    raw = headers.join(names, ["class", "method"]).withColumn("sig", sig)
-    groups = raw.groupBy(*_KEY, "folded").agg(F.max("complexity").alias("embedded"), F.min_by("file", "doc_ord").alias("file"), F.min("doc_ord").alias("doc_ord"))
-    alone = groups.filter("not folded").groupBy("type_key", "method_key").agg(F.count("*").alias("n"), F.first("sig").alias("origin")).filter("n = 1").drop("n")
-    moved = groups.join(alone.withColumn("folded", F.lit(True)), ["type_key", "method_key", "folded"], "left").withColumn("sig", F.coalesce("origin", "sig"))
-    first = F.struct("folded", "doc_ord")
-    methods = moved.groupBy(*_KEY).agg(F.min("folded").alias("folded"), F.max("embedded").alias("embedded"), F.min_by("file", first).alias("file"), F.min_by("doc_ord", first).alias("doc_ord"))
-    rows = lines.join(names, ["class", "method"]).withColumn("sig", sig)
-    rows = rows.join(alone.withColumn("folded", F.lit(True)), ["type_key", "method_key", "folded"], "left").withColumn("sig", F.coalesce("origin", "sig"))
-    return methods, rows.groupBy(*_KEY, "line").agg(F.max("hits").alias("hits"))
+    none = lambda kind: F.lit(None).cast(kind)
+    order = headers.schema["doc_ord"].dataType
+    heads = headers.select("class", "method", "signature", "complexity", "file", "doc_ord", none("int").alias("line"), none("int").alias("hits"))
+    body = lines.select("class", "method", "signature", none("int").alias("complexity"), none("string").alias("file"), none(order).alias("doc_ord"), "line", "hits")
+    rows = heads.unionByName(body).join(names, ["class", "method"]).withColumn("sig", F.when(F.col("folded"), FOLDED).otherwise(F.col("signature")))
+    is_head = F.col("line").isNull()
+    first = F.when(F.col("line").isNull(), F.struct("folded", "doc_ord"))
+    group = rows.groupBy(*_KEY, "folded", "line").agg(F.max("hits").alias("hits"), F.max("complexity").alias("complexity"), F.min_by("file", "doc_ord").alias("file"), F.min("doc_ord").alias("doc_ord"))
+    name = Window.partitionBy("type_key", "method_key")
+    own = F.when(~F.col("folded") & is_head, F.col("sig"))
+    low, high = F.min(own).over(name), F.max(own).over(name)
+    group = group.withColumn("origin", F.when(low == high, low)).withColumn("sig", F.when(F.col("folded"), F.coalesce("origin", "sig")).otherwise(F.col("sig")))
+    by_line = group.groupBy(*_KEY, "line").agg(
+        F.max("hits").alias("hits"), F.max("complexity").alias("embedded"), F.min("folded").alias("folded"),
+        F.min_by("file", first).alias("file"), F.min_by("doc_ord", first).alias("doc_ord"),
+    )
+    head = lambda c: F.max(F.when(is_head, F.col(c))).alias(c)
+    found = by_line.groupBy(*_KEY).agg(
+        head("folded"), head("embedded"), head("file"), head("doc_ord"),
+        F.count_if(F.col("hits") > 0).alias("hit"), F.count("line").alias("total"), F.min("line").alias("start_line"),
+    )
+    return found.filter("folded is not null")
 
 
 def analyze(lines: DataFrame, headers: DataFrame, members: DataFrame | None = None) -> Crap:
     """Scores every source method that has lines and a complexity, its own or the metrics file's."""
-    methods, rows = logical_methods(lines, headers)
-    stats = rows.groupBy(*_KEY).agg(F.count_if(F.col("hits") > 0).alias("hit"), F.count("*").alias("total"), F.min("line").alias("start_line"))
-    found = methods.join(stats, _KEY, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    found = logical_methods(lines, headers)
     unmatched = None
     if members is None:
         found = found.withColumn("from_metrics", F.lit(None).cast("int"))
@@ -82,20 +97,28 @@ def analyze(lines: DataFrame, headers: DataFrame, members: DataFrame | None = No
 
 def _with_metrics(found: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Adds from_metrics: the largest complexity among the members of the name, those of equal arity
-    preferred; else the first property of that name. Also the members nobody asked for."""
-    named = members.filter("kind in ('Method', 'Accessor')")
-    asking = found.filter("embedded is null and total > 0").select(*_KEY, "folded")
-    asking = asking.withColumn("own_arity", F.when(~F.col("folded"), arity(F.col("sig")))).drop("folded")
-    tried = asking.join(named.select(F.col("type_name").alias("type_key"), F.col("member_name").alias("method_key"), "pos", "arity", "complexity"), ["type_key", "method_key"])
-    same = F.col("arity") == F.col("own_arity")
-    best = tried.groupBy(*_KEY).agg(F.max(F.when(same, F.col("complexity"))).alias("exact"), F.max("complexity").alias("any"))
-    used = tried.join(best, _KEY).filter(F.col("exact").isNull() | same).select("pos").distinct()
-    methods = best.select(*_KEY, F.greatest(F.coalesce("exact", "any"), F.lit(0)).alias("by_name"))
+    preferred; else the first property of that name. Also the members nobody asked for.
+
+    Members are grouped by name and arity before they meet the methods, so a name's overloads are a map.
+    """
+    named = members.filter("kind in ('Method', 'Accessor')").select(F.col("type_name").alias("type_key"), F.col("member_name").alias("method_key"), "pos", "arity", "complexity", "display")
     accessors = members.filter("kind = 'Property'").select(F.col("type_name").alias("type_key"), F.explode(F.array(F.concat(F.lit("get_"), "member_name"), F.concat(F.lit("set_"), "member_name"))).alias("method_key"), "pos", "complexity")
     accessors = accessors.groupBy("type_key", "method_key").agg(F.min_by("complexity", "pos").alias("by_property"))
-    out = found.join(methods, _KEY, "left").join(accessors, ["type_key", "method_key"], "left")
-    out = out.withColumn("from_metrics", F.coalesce("by_name", "by_property")).drop("by_name", "by_property")
-    return out, named.join(used, "pos", "left_anti").select("pos", "display")
+    per_arity = named.groupBy("type_key", "method_key", "arity").agg(F.max("complexity").alias("most"))
+    names = per_arity.groupBy("type_key", "method_key").agg(F.max("most").alias("any"), F.map_from_entries(F.collect_list(F.when(F.col("arity").isNotNull(), F.struct("arity", "most")))).alias("by_arity"))
+    asks = F.col("embedded").isNull() & (F.col("total") > 0)
+    asking = found.withColumn("own_arity", arity(F.when(asks & ~F.col("folded"), F.col("sig"))))
+    out = asking.join(names, ["type_key", "method_key"], "left").join(accessors, ["type_key", "method_key"], "left")
+    out = out.withColumn("exact", F.try_element_at("by_arity", F.col("own_arity")))
+    by_name = F.when(asks & F.col("any").isNotNull(), F.greatest(F.coalesce("exact", "any"), F.lit(0)))
+    out = out.withColumn("from_metrics", F.coalesce(by_name, "by_property"))
+    # a method that found its own arity uses the members of that arity, another uses all of its name
+    used = out.filter(asks & F.col("any").isNotNull()).groupBy("type_key", "method_key").agg(
+        F.max(F.col("exact").isNull()).alias("uses_all"), F.collect_set(F.when(F.col("exact").isNotNull(), F.col("own_arity"))).alias("arities")
+    )
+    idle = named.join(used, ["type_key", "method_key"], "left")
+    idle = idle.filter(~F.coalesce(F.col("uses_all") | F.array_contains("arities", F.col("arity")), F.lit(False)))
+    return out.drop("any", "by_arity", "own_arity", "exact", "by_property"), idle.select("pos", "display")
 
 
 def evaluate(methods: DataFrame, most: float) -> DataFrame:

@@ -19,41 +19,45 @@ from tessera.functions.rates import line_status
 _REPORT = ["report_ord", "path", "line"]
 
 
-def _entries(conds: Column) -> Column:
-    return F.flatten(F.collect_list(F.map_entries(conds)))
+_MOST = ("hits", "raw_cov", "raw_tot")
 
 
-def _union(entries: Column) -> Column:
-    """A map of each condition's largest value; NULL for no entries."""
-    keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
-    value = lambda k: F.array_max(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]))
-    return F.when(F.size(entries) > 0, F.map_from_arrays(keys, F.transform(keys, value)))
+def _maxima(rows: DataFrame, keys: list[str], more: list[Column]) -> DataFrame:
+    """A row for the keys: maxima, and conds, each condition's largest value, NULL for none.
+
+    Conditions are rows of their own first, so that they are reduced by key before the shuffle; a line's map
+    is put together from one entry a condition.
+    """
+    names = [c for c in rows.columns if c not in {*keys, *_MOST, "conds"}]
+    each = rows.select(*keys, *_MOST, *names, F.explode_outer("conds").alias("cond", "value"))
+    per_cond = each.groupBy(*keys, "cond").agg(*[F.max(c).alias(c) for c in (*_MOST, "value")], *more)
+    entry = F.when(F.col("cond").isNotNull(), F.struct(F.col("cond").alias("key"), "value"))
+    folded = [(F.min if c == "least" else F.max)(c).alias(c) for c in ("least", "most", "poisoned") if c in per_cond.columns]
+    out = per_cond.groupBy(*keys).agg(*[F.max(c).alias(c) for c in _MOST], F.array_sort(F.collect_list(entry)).alias("entries"), *folded)
+    return out.withColumn("conds", F.when(F.size("entries") > 0, F.map_from_entries("entries"))).drop("entries")
 
 
 def line_facts(raw: DataFrame) -> DataFrame:
     """One row a report and line. Condition detail stays only if it accounts for all branches of the line."""
-    has = "conds" in raw.columns
-    found = raw.groupBy(*_REPORT).agg(
-        F.max("hits").alias("hits"), F.max("raw_cov").alias("raw_cov"), F.max("raw_tot").alias("raw_tot"), *([_entries(F.col("conds")).alias("entries")] if has else [])
-    )
-    if not has:
-        return found
-    conds = _union(F.col("entries"))
-    return found.select(*_REPORT, "hits", "raw_cov", "raw_tot", conds.alias("conds")).withColumn("conds", F.when(F.size("conds") * 2 == F.col("raw_tot"), F.col("conds")))
+    if "conds" not in raw.columns:
+        return raw.groupBy(*_REPORT).agg(*[F.max(c).alias(c) for c in _MOST])
+    found = _maxima(raw, _REPORT, [])
+    return found.withColumn("conds", F.when(F.size("conds") * 2 == F.col("raw_tot"), F.col("conds"))).select(*_REPORT, *_MOST, "conds")
 
 
 def merged_lines(facts: DataFrame) -> DataFrame:
-    """All reports as one: maxima; conditions united if all reports with detail name the same ones, else poisoned."""
-    has = "conds" in facts.columns
-    keys = F.array_sort(F.map_keys("conds"))
-    more = [F.min(keys).alias("least"), F.max(keys).alias("most"), _entries(F.col("conds")).alias("entries")] if has else []
-    found = facts.groupBy("path", "line").agg(F.max("hits").alias("hits"), F.max("raw_cov").alias("raw_cov"), F.max("raw_tot").alias("raw_tot"), *more)
-    if has:
-        poisoned = F.coalesce(F.col("least") != F.col("most"), F.lit(False))
-        found = found.withColumn("poisoned", poisoned).withColumn("conds", F.when(~poisoned, _union(F.col("entries")))).drop("least", "most", "entries")
-    else:
-        found = found.withColumn("poisoned", F.lit(False)).withColumn("conds", F.lit(None).cast("map<int,int>"))
-    return presented(found)
+    """All reports as one: maxima; conditions united if all reports with detail name the same ones, else
+    poisoned. facts that are merged already (with poisoned) may be among them."""
+    if "conds" not in facts.columns:
+        found = facts.groupBy("path", "line").agg(*[F.max(c).alias(c) for c in _MOST])
+        return presented(found.withColumn("poisoned", F.lit(False)).withColumn("conds", F.lit(None).cast("map<int,int>")))
+    named = F.when(F.col("conds").isNotNull(), F.xxhash64(F.array_sort(F.map_keys("conds"))))
+    before = F.coalesce(F.col("poisoned"), F.lit(False)) if "poisoned" in facts.columns else F.lit(False)
+    rows = facts.select("path", "line", *_MOST, "conds", named.alias("named"), before.alias("spoilt"))
+    found = _maxima(rows, ["path", "line"], [F.min("named").alias("least"), F.max("named").alias("most"), F.max("spoilt").alias("poisoned")])
+    poisoned = F.col("poisoned") | F.coalesce(F.col("least") != F.col("most"), F.lit(False))
+    found = found.withColumn("poisoned", poisoned).withColumn("conds", F.when(~F.col("poisoned"), F.col("conds")))
+    return presented(found.select("path", "line", *_MOST, "poisoned", "conds"))
 
 
 def presented(lines: DataFrame) -> DataFrame:

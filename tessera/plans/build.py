@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import os
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from tessera.functions.paths import WELL_KNOWN
 from tessera.plans import report as reports
+from tessera.plans import values
 from tessera.sinks import documents, render
 from tessera.sources.xml import MAX_CHARS, PATTERN, find_reports
 
@@ -21,12 +20,7 @@ class BuildFailed(Exception):
 
 
 def threshold(value: str, name: str) -> float:
-    """A number, NaN refused: it would gate nothing."""
-    try:
-        found = float(value)
-    except ValueError:
-        found = math.nan
-    if math.isnan(found):
+    if (found := values.number(value)) is None:
         raise ValueError(f"Invalid {name}: '{value}' (expected a number).")
     return found
 
@@ -39,15 +33,15 @@ def flag(value: str, name: str) -> bool:
 
 
 def max_chars(value: str, name: str) -> int:
-    if not re.fullmatch("[0-9]+", value):
+    if (found := values.whole(value)) is None:
         raise ValueError(f"Invalid {name}: '{value}' (expected a non-negative integer; 0 = no cap).")
-    return int(value)
+    return found
 
 
 def output_format(value: str, name: str) -> str:
-    if value not in ("table", "json", "markdown", "md"):
+    if (found := values.output_format(value)) is None:
         raise ValueError(f"Invalid {name}: '{value}' (expected 'table', 'json', 'markdown', or 'md').")
-    return "markdown" if value == "md" else value
+    return "markdown" if found == "md" else found
 
 
 @dataclass(frozen=True)
@@ -84,5 +78,6 @@ def report_coverage(spark: SparkSession, config: Config, tell: Callable[[str], o
     tell(shown[output_format(config.format, "Coverage format")]())
     if warning := documents.append_summary(os.environ.get("GITHUB_STEP_SUMMARY"), page):
         tell(warning)
+    found.release()
     if not gate.is_pass:
         raise BuildFailed(render.gate_line(gate))

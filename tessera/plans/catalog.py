@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import names, paths, rates
@@ -138,6 +138,27 @@ def gate_grid(spark, sf_dir):
     return rollup.gate_columns(report, F.col("min_line"), F.col("min_branch")).select("min_line", "min_branch", "outcome", "reason")
 
 
+_EMPTY = [(80.0, 0.0), (0.0, 50.0), (50.0, 50.0), (0.0, 0.0)]
+_NOTHING = "report carries no line data - nothing was measured"
+_BLIND = "branch threshold of ' || CAST(CAST(min_branch AS INT) AS VARCHAR) || '% requested but the report carries no branch data"
+
+
+@query(f"""WITH {facts.FILES}, g(min_line, min_branch) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in _EMPTY)}),
+x AS (SELECT 'nothing' AS report, min_line, min_branch, CAST(NULL AS DOUBLE) AS line_rate FROM g
+  UNION ALL SELECT 'no branches', min_line, min_branch, (SELECT CAST(sum(lines_hit) AS DOUBLE) / sum(lines_total) FROM files) FROM g)
+SELECT report, min_line, min_branch, CASE WHEN min_line <= 0 AND min_branch <= 0 THEN 'Disabled' WHEN line_rate IS NULL OR min_branch > 0 THEN 'NoData' WHEN line_rate * 100 >= min_line - 1e-9::DOUBLE THEN 'Pass' ELSE 'Fail' END AS outcome,
+CASE WHEN min_line <= 0 AND min_branch <= 0 THEN 'no positive threshold - this gate cannot fail' WHEN line_rate IS NULL THEN '{_NOTHING}' WHEN min_branch > 0 THEN '{_BLIND}'
+WHEN line_rate * 100 >= min_line - 1e-9::DOUBLE THEN 'thresholds met' ELSE 'line coverage below threshold' END AS reason FROM x""")
+def gate_no_data(spark, sf_dir):
+    """The gate over a report without files and one without branch data."""
+    gates = F.explode(F.array(*[F.struct(F.lit(a).alias("min_line"), F.lit(b).alias("min_branch")) for a, b in _EMPTY]))
+    plain = merge.merged_lines(facts.raw(spark, sf_dir).withColumns({c: F.lit(None).cast("int") for c in ("raw_cov", "raw_tot")}))
+    kinds = {"nothing": facts.files(spark, sf_dir).filter(F.lit(False)), "no branches": rollup.file_rollup(plain, detail=False)}
+    rows = [rollup.report_rollup(files).select(F.lit(name).alias("report"), "*") for name, files in kinds.items()]
+    report = rows[0].unionByName(rows[1]).withColumn("g", gates).select("*", "g.*")
+    return rollup.gate_columns(report, F.col("min_line"), F.col("min_branch")).select("report", "min_line", "min_branch", "outcome", "reason")
+
+
 @query(f"""WITH {facts.FILES} SELECT coalesce(path, 'TOTAL') AS path, CAST(sum(lines_hit) AS BIGINT) AS lines_hit, CAST(sum(lines_total) AS BIGINT) AS lines_total,
 CAST(sum(branches_hit) AS BIGINT) AS branches_hit, CAST(sum(branches_total) AS BIGINT) AS branches_total FROM files GROUP BY ROLLUP (path)""")
 def table_rows(spark, sf_dir):
@@ -167,32 +188,18 @@ def warn_condition(spark, sf_dir):
 _ROOTS = [["/ci/a"], ["/ci/a"], ["/ci/b"]]
 
 
-@query(f"""WITH {facts.RAW}, f AS (SELECT DISTINCT report_ord, CASE WHEN report_ord = 3 THEN '/ci/b/' ELSE '/ci/a/' END || path AS path FROM raw WHERE path LIKE '%1/F%' OR path LIKE '%3.cs'),
+@query(f"""WITH {facts.RAW}, f AS (SELECT DISTINCT report_ord, CASE WHEN report_ord = 3 THEN '/ci/b/' ELSE '/ci/a/' END || path AS path FROM raw),
 k AS (SELECT path, min(report_ord) AS first, split_part(path, '/', -1) AS name FROM f GROUP BY path)
 SELECT b.first AS report_ord, 'FileIdentityAmbiguous' AS kind, a.path AS file, 0 AS line,
 '''' || a.path || ''' and ''' || b.path || ''' share a file name under different source roots - if they are the same file, its coverage is double-counted in the merged totals' AS detail
 FROM k a JOIN k b ON a.name = b.name AND a.first < b.first AND b.first = 3 WHERE a.path NOT IN (SELECT path FROM f WHERE report_ord = 3)""")
 def warn_identity(spark, sf_dir):
-    return _identity(spark, facts.raw(spark, sf_dir).filter(F.col("path").like("%1/F%") | F.col("path").like("%3.cs")))
-
-
-def _identity(spark, rows):
     root = F.when(F.col("report_ord") == 3, F.lit("/ci/b/")).otherwise(F.lit("/ci/a/"))
-    files = rows.select("report_ord", F.concat(root, "path").alias("path")).distinct()
+    files = facts.raw(spark, sf_dir).select("report_ord", F.concat(root, "path").alias("path")).distinct()
     steps = spark.createDataFrame([(k + 1,) for k in merge.differing_steps(_ROOTS)], "report_ord int")
     return merge.identity_warnings(files, steps)
 
 
-@query(f"""WITH {facts.RAW}, f AS (SELECT DISTINCT report_ord, CASE WHEN report_ord = 3 THEN '/ci/b/' ELSE '/ci/a/' END || path AS path FROM raw),
-k AS (SELECT path, min(report_ord) AS first, split_part(path, '/', -1) AS name FROM f GROUP BY path)
-SELECT b.first AS report_ord, 'FileIdentityAmbiguous' AS kind, a.path AS file, 0 AS line,
-'''' || a.path || ''' and ''' || b.path || ''' share a file name under different source roots - if they are the same file, its coverage is double-counted in the merged totals' AS detail
-FROM k a JOIN k b ON a.name = b.name AND a.first < b.first AND b.first = 3 WHERE a.path NOT IN (SELECT path FROM f WHERE report_ord = 3)""")
-def warn_identity_all(spark, sf_dir):
-    """warn_identity over every path of the three reports."""
-    return _identity(spark, facts.raw(spark, sf_dir))
-
-
 # differences
 
 
@@ -251,6 +258,22 @@ def change_match(spark, sf_dir):
     return diff.line_deltas(deltas, before, after).groupBy("change").agg(F.count("*").alias("lines"), F.sum(weight).alias("weight"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with place, their number in the order they come in."""
+    return rows.withColumn("at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("at"))).drop("at")
+
+
+@query(f"WITH {facts.DIFF} SELECT path, delta, row_number() OVER (ORDER BY delta NULLS FIRST, CASE WHEN before IS NULL THEN 1 ELSE 0 END, path) AS place FROM d")
+def diff_order(spark, sf_dir):
+    return _numbered(diff.ordered(_sides(spark, sf_dir)[2]).select("path", "delta"))
+
+
+@query(f"WITH {facts.DIFF} SELECT path, line, change, row_number() OVER (ORDER BY path, line) AS place FROM l")
+def line_order(spark, sf_dir):
+    before, after, deltas = _sides(spark, sf_dir)
+    return _numbered(diff.in_order(diff.line_deltas(deltas, before, after)).select("path", "line", "change"))
+
+
 def _moved(name: str) -> str:
     return f"""WITH {facts.RAW}, b AS (SELECT DISTINCT {name} AS path FROM raw WHERE report_ord = 1),
 a AS (SELECT DISTINCT CASE WHEN path LIKE '%1/F%' THEN '/_/' ELSE '' END || {name} AS path FROM raw WHERE report_ord = 3),
@@ -398,6 +421,28 @@ def resolve_key(spark, sf_dir):
     return facts.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), paths.file_key(text, roots).alias("path"))
 
 
+_TOKENS = list(names.OPERATORS.items())
+
+
+@query(f"""WITH t(i, token, name) AS (VALUES {", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(_TOKENS))})
+SELECT p_partkey AS k, name AS member_name, CAST(2 AS INT) AS arity, 'Method' AS kind FROM part JOIN t ON p_partkey % {len(_TOKENS)} = i""")
+def operator_tokens(spark, sf_dir):
+    """Every operator token, between operands whose types come from the tables."""
+    token = F.element_at(F.array(*[F.lit(k) for k, _ in _TOKENS]), (F.col("p_partkey") % len(_TOKENS) + 1).cast("int"))
+    text = F.concat(F.lit("C C.operator "), token, F.lit("(C a, List<"), "p_type", F.lit("> b)"))
+    rows = facts.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), text.alias("d"))
+    return rows.withColumn("x", names.displayed(F.col("d"), F.lit("Method"), F.lit("C"))).select("k", "x.member_name", "x.arity", "x.kind")
+
+
+@query("""SELECT p_partkey AS k, p_partkey % 16 < 7 AS generated, p_partkey % 16 BETWEEN 7 AND 12 AS test_code FROM part""")
+def rule_lists(spark, sf_dir):
+    """The fixed rule lists: each rule occurs in one of sixteen kinds of paths."""
+    rules = [*paths.WELL_KNOWN, *paths.TEST_CODE]
+    part = F.element_at(F.array(*[F.lit(r.upper()) for r in rules], *[F.lit("/plain/")] * 3), (F.col("p_partkey") % 16 + 1).cast("int"))
+    rows = facts.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("src/"), "p_brand", part, "p_type").alias("path"))
+    return rows.select("k", paths.excluded(F.col("path"), paths.WELL_KNOWN).alias("generated"), paths.excluded(F.col("path"), paths.TEST_CODE).alias("test_code"))
+
+
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def file_hash(spark, sf_dir):
     return facts.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
@@ -428,10 +473,93 @@ def xml_roundtrip(spark, sf_dir):
     return merge.line_facts(found.withColumn("report_ord", F.floor(F.col("report_ord") / 100).cast("int")))
 
 
+def _wrapped(body):
+    """Class elements as a document; the packages and classes around them."""
+    return F.concat(F.lit("<coverage><packages><package><classes>"), body, F.lit("</classes></package></packages></coverage>"))
+
+
+def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and x, the texts x of a key end to end."""
+    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("x"))
+
+
+@query(ORACLES["cond_union"])
+def xml_conditions(spark, sf_dir):
+    """Lines with condition detail, written as XML and read again, then merged."""
+    rows = facts.raw(spark, sf_dir, conds=True).select("*", F.explode_outer("conds").alias("no", "outcomes"))
+    text = lambda c: F.col(c).cast("string")
+    detail = F.concat(F.lit('<conditions><condition number="'), text("no"), F.lit('" type="jump" coverage="'), (F.col("outcomes") * 50).cast("string"), F.lit('%"/></conditions>'))
+    branch = F.concat(F.lit('" branch="true" condition-coverage="50% ('), text("raw_cov"), F.lit("/"), text("raw_tot"), F.lit(")"))
+    line = F.concat(F.lit('<line number="'), text("line"), F.lit('" hits="'), text("hits"), F.coalesce(branch, F.lit("")), F.lit('">'), F.coalesce(detail, F.lit("")), F.lit("</line>"))
+    cls = _joined(rows.select("report_ord", "path", line.alias("x")).distinct(), ["report_ord", "path"])
+    cls = cls.withColumn("x", F.concat(F.lit('<class name="C" filename="'), "path", F.lit('"><lines>'), "x", F.lit("</lines></class>")))
+    number = (F.col("report_ord") * 100 + F.regexp_extract("path", r"(\d+)/", 1).cast("int")).alias("report_ord")
+    docs = _joined(cls.select(number, "x"), ["report_ord"]).select("report_ord", _wrapped(F.col("x")).alias("xml"))
+    found = xml.scan(xml.parsed(docs.repartition(spark.sparkContext.defaultParallelism, "report_ord"))).lines
+    lines = merge.merged_lines(merge.line_facts(found.withColumn("report_ord", F.floor(F.col("report_ord") / 100).cast("int"))))
+    return lines.filter("raw_tot is not null").select("path", "line", "poisoned", "cov", "tot")
+
+
+@query(f"WITH {facts.METHODS} SELECT * EXCLUDE (doc_ord) FROM meth")
+def xml_methods(spark, sf_dir):
+    """Methods with complexities, written as XML and read again; a class's own lines count for no method."""
+    lines, headers = facts.methods(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    key = ["file", "class", "method", "signature"]
+    line = F.concat(F.lit('<line number="'), text("line"), F.lit('" hits="'), text("hits"), F.lit('"/>'))
+    body = _joined(lines.select(*key, line.alias("x")).distinct(), key).join(headers, key)
+    head = F.concat(F.lit('<method name="'), "method", F.lit('" signature="'), "signature", F.lit('" complexity="'), text("complexity"), F.lit('"><lines>'))
+    cls = _joined(body.select("file", "class", F.concat(head, "x", F.lit("</lines></method>")).alias("x")), ["file", "class"])
+    whole = F.concat(F.lit('<class name="'), "class", F.lit('" filename="'), "file", F.lit('"><methods>'), "x", F.lit('</methods><lines><line number="9999" hits="1"/></lines></class>'))
+    docs = cls.select(F.regexp_extract("file", r"(\d+)", 1).cast("int").alias("report_ord"), _wrapped(whole).alias("xml"))
+    return crap.method_rollup(*xml.scan_methods(xml.parsed(docs))).drop("doc_ord")
+
+
+@query("""SELECT 'Shop.' || p_brand || CASE WHEN p_partkey % 4 = 3 THEN '.Inner' ELSE '' END AS type_name,
+CASE p_partkey % 4 WHEN 0 THEN 'M' || p_partkey WHEN 1 THEN 'get_P' || p_partkey WHEN 2 THEN 'P' || p_partkey ELSE 'N' || p_partkey END AS member_name,
+CASE p_partkey % 4 WHEN 1 THEN 'Accessor' WHEN 2 THEN 'Property' ELSE 'Method' END AS kind, CAST(CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 0 END AS INT) AS arity, p_size AS complexity FROM part
+UNION ALL SELECT 'Shop.' || p_brand, 'P' || p_partkey, 'Property', NULL, 1 FROM part WHERE p_partkey % 4 = 1""")
+def xml_metrics(spark, sf_dir):
+    """Members of metrics documents, a type a brand with a generic nested type, read in one document a brand."""
+    k, n, size = F.col("p_partkey") % 4, F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    metric = lambda c: F.concat(F.lit('<Metrics><Metric Name="CyclomaticComplexity" Value="'), c, F.lit('"/></Metrics>'))
+    method = lambda name: F.concat(F.lit('<Method Name="'), name, F.lit('">'), metric(size), F.lit("</Method>"))
+    prop = lambda c, inner: F.concat(F.lit('<Property Name="int C.P'), n, F.lit('">'), metric(c), inner, F.lit("</Property>"))
+    accessor = F.concat(F.lit("<Accessors>"), method(F.concat(F.lit("int C.P"), n, F.lit(".get"))), F.lit("</Accessors>"))
+    member = (
+        F.when(k == 0, method(F.concat(F.lit("void C.M"), n, F.lit("(int a)")))).when(k == 1, prop(F.lit("1"), accessor)).when(k == 2, prop(size, F.lit("")))
+        .otherwise(method(F.concat(F.lit("void Inner.N"), n, F.lit("()"))))
+    )
+    rows = facts.read(spark, sf_dir, "part").select("p_brand", (k == 3).alias("inner"), member.alias("x"))
+    body = rows.groupBy("p_brand").agg(*[F.array_join(F.collect_list(F.when(c, F.col("x"))), "").alias(name) for c, name in ((F.col("inner"), "nested"), (~F.col("inner"), "own"))])
+    nested = F.concat(F.lit('<NamedType Name="Inner&lt;T&gt;"><Members>'), "nested", F.lit("</Members></NamedType>"))
+    doc = F.concat(F.lit('<CodeMetricsReport><Targets><Target><Assembly><Namespaces><Namespace Name="Shop"><Types><NamedType Name="'), "p_brand", F.lit('"><Members>'), "own", F.lit("</Members>"), nested, F.lit("</NamedType></Types></Namespace></Namespaces></Assembly></Target></Targets></CodeMetricsReport>"))
+    return xml.scan_metrics(body.select(F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("report_ord"), doc.alias("xml"))).drop("pos", "display")
+
+
+@query("""SELECT CAST(p_partkey + 1 AS INT) AS k, CASE p_partkey % 7 WHEN 0 THEN '/r/' || p_brand WHEN 1 THEN 'C:/r,/s' WHEN 2 THEN '' WHEN 3 THEN ',/s' WHEN 4 THEN '/s' WHEN 5 THEN '/r&s' ELSE '/late' END AS roots,
+CASE p_partkey % 7 WHEN 0 THEN '/r/' || p_brand || '/A.cs' WHEN 1 THEN 'C:/r/A.cs' WHEN 4 THEN '/s/A.cs' WHEN 5 THEN '/r&s/A.cs' ELSE 'A.cs' END AS path FROM part""")
+def xml_roots(spark, sf_dir):
+    """Source roots of all kinds: with separators, repeated, without effect, after a comment, in a section,
+    and after the class that they then don't hold for."""
+    k, src = F.col("p_partkey") % 7, lambda *t: F.concat(F.lit("<source>"), *t, F.lit("</source>"))
+    lit = F.lit
+    roots = (
+        F.when(k == 0, src(lit("/r/"), F.col("p_brand"), lit("/"))).when(k == 1, F.concat(src(lit("c:\\r\\")), src(lit("/s")), src(lit("C:/r")))).when(k == 2, src(lit(" ./ ")))
+        .when(k == 3, F.concat(src(lit(".")), src(lit("/s")))).when(k == 4, F.concat(src(lit("<!-- no -->/r")), src(lit("")), src(lit("/s<!-- x -->/t")))).when(k == 5, src(lit("<![CDATA[/r&s]]>"))).otherwise("")
+    )
+    cls = lit('<class name="C" filename="A.cs"><lines><line number="1" hits="1"/></lines></class>')
+    doc = F.concat(lit("<coverage><x><sources>"), roots, lit("</sources></x>"), cls, F.when(k == 6, src(lit("/late"))).otherwise(""), lit("</coverage>"))
+    found = xml.parsed(facts.read(spark, sf_dir, "part").select((F.col("p_partkey") + 1).cast("int").alias("report_ord"), doc.alias("xml")))
+    scan = xml.scan(found)
+    rows = scan.files.join(scan.roots, "report_ord", "left")
+    return rows.select(F.col("report_ord").alias("k"), F.coalesce(F.array_join("roots", ","), F.lit("")).alias("roots"), "path")
+
+
 @query("""SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE CAST(l_linenumber AS INT) END AS covered,
 CAST(CASE WHEN CAST(trunc(l_quantity) AS INT) * 2 + 1 > 100 THEN NULL WHEN CAST(trunc(l_quantity) AS INT) * 2 + 1 < 25 THEN 0 WHEN CAST(trunc(l_quantity) AS INT) * 2 + 1 < 75 THEN 1 ELSE 2 END AS INT) AS outcomes FROM lineitem""")
 def condition_rules(spark, sf_dir):
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int") * 2 + 1
     cover = F.when(n % 4 == 3, "50% (x/2)").otherwise(F.concat(F.lit("50% ("), n.cast("string"), F.lit("/9)")))
     part = F.concat(F.lit(" "), q.cast("string"), F.lit("%"))
-    return facts.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), n.alias("n"), F.regexp_extract(cover, r"\((\d+)/(\d+)\)", 1).try_cast("int").alias("covered"), xml.outcomes_of(part).alias("outcomes"))
+    return facts.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), n.alias("n"), xml.branch_counts(cover, 1).alias("covered"), xml.outcomes_of(part).alias("outcomes"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import os
-import re
 import sys
 from collections.abc import Callable
 from typing import TextIO
@@ -15,12 +13,12 @@ from pyspark.sql import SparkSession
 from tessera.functions.paths import WELL_KNOWN
 from tessera.operators import crap, rollup
 from tessera.plans import report as reports
+from tessera.plans import values
 from tessera.sinks import documents, render
 from tessera.sinks.text import colours, pct
 from tessera.sources.xml import MAX_CHARS, PATTERN, XmlError
 
 VERSION = "0.1.0"
-FORMATS = ("table", "json", "markdown", "md")
 FLAGS = {"exclude-generated", "github-summary"}
 USAGE = """tessera - coverage reports on Spark
 
@@ -68,11 +66,8 @@ def number(options: dict[str, str], name: str, default: str | None = None) -> fl
     raw = options.get(name, default)
     if raw is None:
         return None
-    try:
-        value = float(raw) if "_" not in raw else math.nan
-    except ValueError:
-        value = math.nan
-    if math.isnan(value):
+    value = values.number(raw)
+    if value is None:
         raise Refused(f"Invalid --{name} value: '{raw}' (expected a number).")
     return value
 
@@ -81,16 +76,18 @@ def digits(options: dict[str, str], name: str, least: int, expected: str) -> int
     raw = options.get(name)
     if raw is None:
         return None
-    if not re.fullmatch(r"[0-9]+", raw) or int(raw) < least:
+    value = values.whole(raw, least)
+    if value is None:
         raise Refused(f"Invalid --{name} value: '{raw}' (expected {expected}).")
-    return int(raw)
+    return value
 
 
 def output_format(options: dict[str, str]) -> str:
-    value = options.get("format", "table")
-    if value not in FORMATS:
-        raise Refused(f"Invalid --format value: '{value}' (expected table, json, markdown, or md).")
-    return "md" if value == "markdown" else value
+    raw = options.get("format", "table")
+    value = values.output_format(raw)
+    if value is None:
+        raise Refused(f"Invalid --format value: '{raw}' (expected table, json, markdown, or md).")
+    return value
 
 
 def needed(options: dict[str, str], *names: str, usage: str) -> list[str]:
@@ -112,6 +109,7 @@ def exclusions(options: dict[str, str]) -> tuple[tuple[str, ...], list[str]]:
 class Cli:
     def __init__(self, spark: Callable[[], SparkSession], out: TextIO, err: TextIO, colour: bool = False) -> None:
         self.spark, self.out, self.err, self.colour = spark, out, err, colour
+        self.held: list[reports.Report] = []
 
     def run(self, args: list[str]) -> int:
         command, options = parse_args(args)
@@ -134,11 +132,15 @@ class Cli:
             self.err.write(f"error: {e}\n")
         except PySparkException as e:
             self.err.write(f"error: {str(e).splitlines()[0]}\n")
+        finally:
+            while self.held:
+                self.held.pop().release()
         return 1
 
     def _load(self, path: str, options: dict[str, str], exclude: bool = True) -> reports.Report:
         pattern, most = scope(options)
         found = reports.parse_path(self.spark(), path, pattern, most)
+        self.held.append(found)
         return found.exclude(*exclusions(options)) if exclude else found
 
     def _summary(self, options: dict[str, str], page: Callable[[], str]) -> None:
@@ -185,8 +187,8 @@ class Cli:
         if "metrics" in options:
             if not os.path.isfile(options["metrics"]):
                 raise FileNotFoundError(f"No metrics file at '{options['metrics']}'.")
-            members = reports.parse_metrics(self.spark(), options["metrics"], chars).persist()
-        risk = reports.risk(crap.analyze(lines, headers, members), most)
+            members = reports.parse_metrics(self.spark(), options["metrics"], chars)
+        risk = reports.risk(crap.analyze(lines, headers, members), most, top)
         shown = {"json": lambda: documents.risk_json(risk, top), "md": lambda: render.risk_markdown(risk, top)}
         self.out.write(shown.get(kind, lambda: render.risk_table(risk, top, self.colour))())
         self._summary(options, lambda: render.risk_markdown(risk, top))

@@ -29,6 +29,12 @@ class Report:
     warnings: DataFrame
     roots: tuple[str, ...] = ()
     found: int = 0
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Frees what the report keeps cached; its frames are computed anew if used again."""
+        for df in self.held:
+            df.unpersist()
 
     @cached_property
     def total(self) -> Row:
@@ -81,7 +87,7 @@ def parse(spark: SparkSession, *texts: str, max_chars: int = xml.MAX_CHARS) -> R
 
 def merged(spark: SparkSession, rows: DataFrame, count: int) -> Report:
     """count rows (report_ord from 1, xml) as one report."""
-    docs = xml.parsed(rows.select("report_ord", "xml")).persist()
+    docs = xml.parsed(rows).persist()
     scan = xml.scan(docs)
     found = merge.line_facts(scan.lines).persist()
     by_report = {r.report_ord: r.roots for r in scan.roots.collect()}
@@ -94,11 +100,14 @@ def merged(spark: SparkSession, rows: DataFrame, count: int) -> Report:
     for phase, df in ((1, merge.total_warnings(found)), (1, merge.condition_warnings(found)), (2, merge.identity_warnings(scan.files, steps))):
         warnings = warnings.unionByName(place(df, phase))
     kept = tuple(dict.fromkeys(r for own in roots for r in own))
-    return Report(lines, rollup.file_rollup(lines, seen), warnings, kept, count)
+    return Report(lines, rollup.file_rollup(lines, seen), warnings, kept, count, (docs, found))
 
 
-def inputs(path: str, pattern: str = xml.PATTERN) -> list[str]:
+def inputs(spark: SparkSession, path: str, pattern: str = xml.PATTERN) -> list[str]:
     """The files a path stands for: itself, or those of the pattern in the folder."""
+    if xml.is_remote(path):
+        return xml.remote_reports(spark, path, pattern)
+    path = path.removeprefix("file://").removeprefix("file:")
     if os.path.isfile(path):
         return [path]
     if os.path.isdir(path):
@@ -107,12 +116,12 @@ def inputs(path: str, pattern: str = xml.PATTERN) -> list[str]:
 
 
 def parse_path(spark: SparkSession, path: str, pattern: str = xml.PATTERN, max_chars: int = xml.MAX_CHARS) -> Report:
-    return load(spark, inputs(path, pattern), max_chars)
+    return load(spark, inputs(spark, path, pattern), max_chars)
 
 
 def parse_methods(spark: SparkSession, path: str, pattern: str = xml.PATTERN, max_chars: int = xml.MAX_CHARS) -> tuple[DataFrame, DataFrame]:
     """method_line and method_hdr of all documents of a path."""
-    return xml.scan_methods(xml.parsed(xml.read_files(spark, inputs(path, pattern), max_chars)).persist())
+    return xml.scan_methods(xml.parsed(xml.read_files(spark, inputs(spark, path, pattern), max_chars)).persist())
 
 
 def parse_metrics(spark: SparkSession, path: str, max_chars: int = xml.MAX_CHARS) -> DataFrame:
@@ -121,48 +130,56 @@ def parse_metrics(spark: SparkSession, path: str, max_chars: int = xml.MAX_CHARS
 
 @dataclass(frozen=True)
 class Difference:
+    """files in their order; counts: how many lines of a path changed how. The changes themselves stay rows of
+    changed until a document asks for lines."""
+
     files: list[Row]
-    lines: dict[str, list[Row]]
+    counts: dict[str, Row]
+    changed: DataFrame
     before: float | None
     after: float | None
 
+    @cached_property
+    def lines(self) -> dict[str, list[Row]]:
+        out: dict[str, list[Row]] = {}
+        for r in diff.in_order(self.changed).toLocalIterator():
+            out.setdefault(r.path, []).append(r)
+        return out
+
     @property
     def delta(self) -> float | None:
         return None if self.before is None or self.after is None else self.after - self.before
 
     @property
     def line_count(self) -> int:
-        return sum(map(len, self.lines.values()))
+        return sum(r.newly_missed + r.newly_hit + r.added + r.removed for r in self.counts.values())
 
 
 def compare(before: Report, after: Report) -> Difference:
-    deltas = diff.file_deltas(before.files, after.files, list(before.roots) != list(after.roots)).persist()
-    lines: dict[str, list[Row]] = {}
-    for r in diff.line_deltas(deltas, before.lines, after.lines).orderBy("path", "line").collect():
-        lines.setdefault(r.path, []).append(r)
-    return Difference(diff.ordered(deltas).collect(), lines, before.total.line_rate, after.total.line_rate)
+    deltas = diff.file_deltas(before.files, after.files, list(before.roots) != list(after.roots))
+    changed = diff.line_deltas(deltas, before.lines, after.lines)
+    counts = {r.path: r for r in diff.change_counts(changed).collect()}
+    return Difference(diff.ordered(deltas).collect(), counts, changed, before.total.line_rate, after.total.line_rate)
 
 
 @dataclass(frozen=True)
 class Risk:
-    """Scored methods worst first, unscored ones, unmatched members and the gate's row, on the driver."""
+    """The worst scored methods, how many there are and how many are above, unscored ones and unmatched members."""
 
     methods: list[Row]
+    scored: int
+    above: int
     unscored: list[Row]
     unmatched: list[str]
     most: float
 
-    @property
-    def above(self) -> int:
-        return sum(m.score > self.most + 1e-9 for m in self.methods)
-
     @property
     def outcome(self) -> str:
-        return "NoData" if not self.methods else "Fail" if self.above else "Pass"
+        return "NoData" if not self.scored else "Fail" if self.above else "Pass"
 
     @property
     def reason(self) -> str:
-        n = len(self.methods)
+        n = self.scored
         if not n:
             if self.unscored:
                 return f"{len(self.unscored)} methods have coverage but no usable complexity - supply --metrics <file> (dotnet msbuild /t:Metrics)"
@@ -170,6 +187,8 @@ class Risk:
         return f"{self.above} of {n} methods above threshold" if self.above else f"all {n} methods at or below threshold"
 
 
-def risk(found: crap.Crap, most: float) -> Risk:
+def risk(found: crap.Crap, most: float, top: int | None = None) -> Risk:
+    """Counts are Spark's; only the methods shown (all without top) come to the driver."""
     unmatched = [] if found.unmatched is None else [r.display for r in found.unmatched.orderBy("pos").collect()]
-    return Risk(crap.worst_first(found.methods).collect(), found.unscored.orderBy("doc_ord").collect(), unmatched, most)
+    gate = crap.evaluate(found.methods, most).first()
+    return Risk(crap.worst_first(found.methods, top).collect(), gate.scored, gate.above, found.unscored.orderBy("doc_ord").collect(), unmatched, most)

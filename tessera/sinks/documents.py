@@ -79,7 +79,7 @@ def diff_json(diff: Difference) -> str:
 def risk_json(risk: Risk, top: int | None = None) -> str:
     above = lambda m: m.score > risk.most + RATE_EPSILON
     gate = _held(
-        outcome=risk.outcome.lower(), maxCrap=int(risk.most) if risk.most == int(risk.most) else risk.most, scoredMethods=len(risk.methods),
+        outcome=risk.outcome.lower(), maxCrap=int(risk.most) if risk.most == int(risk.most) else risk.most, scoredMethods=risk.scored,
         aboveThreshold=risk.above, worstScore=_number(risk.methods[0].score) if risk.methods else None, reason=risk.reason,
     )
     methods = [

@@ -11,7 +11,7 @@ from tessera.sinks.text import Pen, pct, plural, short, signed, tenth
 
 _BADGE = {"Pass": " ✅", "Fail": " ❌", "NoData": " ⚠️", "Disabled": " ⚠️"}
 #: Kinds of line changes in the order they are told.
-_TOLD = (("NewlyMissed", "newly missed"), ("NewlyHit", "newly hit"), ("Added", "added"), ("Removed", "removed"))
+_TOLD = (("newly_missed", "newly missed"), ("newly_hit", "newly hit"), ("added", "added"), ("removed", "removed"))
 
 
 def _lines(rows: Sequence[str]) -> str:
@@ -68,7 +68,7 @@ def diff_table(diff: Difference, colour: bool = False) -> str:
     total = pen.delta(f"{signed(diff.delta):>8}", diff.delta)
     rows += [rule, "  ".join(map(pen.bold, (f"{'TOTAL':<{width}}", f"{pct(diff.before):>8}", f"{pct(diff.after):>8}", total)))]
     if diff.line_count:
-        rows.append(pen.dim(f"Indirect changes: {plural(diff.line_count, 'line')} flipped across {plural(len(diff.lines), 'file')}"))
+        rows.append(pen.dim(f"Indirect changes: {plural(diff.line_count, 'line')} flipped across {plural(len(diff.counts), 'file')}"))
     return _lines(rows)
 
 
@@ -115,12 +115,11 @@ def diff_markdown(diff: Difference) -> str:
     rows = [f"## Coverage Diff {icon}", "", f"**Overall:** {pct(diff.before)} → {pct(diff.after)} ({signed(diff.delta)})", ""]
     rows += ["| File | Before | After | Delta | Change |", "|------|-------:|------:|------:|--------|"]
     rows += [f"| `{f.path}` | {pct(f.before)} | {pct(f.after)} | {signed(f.delta)} | {f.change} |" for f in diff.files]
-    if diff.lines:
-        rows += ["", f"### Indirect changes ({plural(diff.line_count, 'line')} across {plural(len(diff.lines), 'file')})", ""]
+    if diff.counts:
+        rows += ["", f"### Indirect changes ({plural(diff.line_count, 'line')} across {plural(len(diff.counts), 'file')})", ""]
         for f in diff.files:
-            changes = [c.change for c in diff.lines.get(f.path, ())]
-            if changes:
-                rows.append(f"- `{f.path}`: " + ", ".join(f"{changes.count(k)} {word}" for k, word in _TOLD if k in changes))
+            if changes := diff.counts.get(f.path):
+                rows.append(f"- `{f.path}`: " + ", ".join(f"{changes[k]} {word}" for k, word in _TOLD if changes[k]))
     return _lines(rows)
 
 
@@ -134,8 +133,8 @@ def risk_table(risk: Risk, top: int | None = None, colour: bool = False) -> str:
         paint = pen.red if m.score > risk.most + RATE_EPSILON else pen.green
         rows.append(f"{m.method:<{width}}  {m.complexity:>5}  {pct(m.coverage):>8}  {paint(f'{tenth(m.score):>8}')}")
     rows.append(rule)
-    if top is not None and len(risk.methods) > top:
-        rows.append(pen.dim(f"... {len(risk.methods) - top} more methods below (--top {top})"))
+    if top is not None and risk.scored > top:
+        rows.append(pen.dim(f"... {risk.scored - top} more methods below (--top {top})"))
     if risk.unscored:
         rows += [pen.dim(f"Unscored (no complexity source): {len(risk.unscored)}"), *(pen.dim(f"  {u.method} - {u.reason}") for u in risk.unscored)]
     if risk.unmatched:
@@ -151,8 +150,8 @@ def risk_markdown(risk: Risk, top: int | None = None) -> str:
     if shown:
         rows += ["", "| Method | Comp | Cov % | CRAP |", "|--------|-----:|------:|-----:|"]
         rows += [f"| `{m.method}` | {m.complexity} | {pct(m.coverage)} | {tenth(m.score)}{' ❌' if m.score > risk.most + RATE_EPSILON else ''} |" for m in shown]
-        if top is not None and len(risk.methods) > top:
-            rows += ["", f"_… {len(risk.methods) - top} more methods below (top {top} shown; the gate evaluates all)._"]
+        if top is not None and risk.scored > top:
+            rows += ["", f"_… {risk.scored - top} more methods below (top {top} shown; the gate evaluates all)._"]
     if risk.unscored:
         rows += ["", "### Unscored methods (no complexity source)", "", *(f"- `{u.method}` — {u.reason}" for u in risk.unscored)]
     if risk.unmatched:

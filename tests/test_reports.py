@@ -285,3 +285,160 @@ def test_parse_text(spark):
         assert (r.total.lines_hit, r.total.lines_total) == (1, 2) and callable(cancel)
     with pytest.raises(xml.XmlError):
         report.parse(spark, "<a>")
+
+
+def test_every_name_is_read(spark, tmp_path):
+    names = ["_a.xml", ".a.xml", "x[1].xml", "a b.xml", "a%20b.xml", "c:d.xml", "q?*{x}.xml", "é\\b.xml"]
+    for i, name in enumerate(names):
+        (tmp_path / name).write_text(document(cls(f"{i}.cs", [line(1, 1)])))
+    found = report.load(spark, [str(tmp_path / n) for n in names])
+    assert sorted(rows(found)) == [f"{i}.cs" for i in range(len(names))]
+    # hidden files are passed over in folders, as folders list them
+    assert sorted(xml.find_reports(str(tmp_path), "*.xml")) == sorted(str(tmp_path / n) for n in names if not n.startswith("."))
+    assert list(rows(report.parse_path(spark, f"file:{tmp_path}/_a.xml"))) == ["0.cs"]
+
+
+def test_missing_files_are_named(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(document())
+    with pytest.raises(xml.XmlError, match=r"gone\.xml: The file can't be read"):
+        report.load(spark, [str(tmp_path / "a.xml"), str(tmp_path / "gone.xml")])
+    with pytest.raises(FileNotFoundError):
+        report.parse_path(spark, str(tmp_path / "none"))
+
+
+def test_other_file_systems(spark, tmp_path):
+    """Paths of another scheme are listed and read through Spark; what its reader passes over is named."""
+    conf = spark._jsc.hadoopConfiguration()
+    (tmp_path / "b").mkdir()
+    for name, file in (("x[1].xml", "A.cs"), ("b/y.xml", "B.cs"), (".z.xml", "C.cs")):
+        (tmp_path / name).write_text(document(cls(file, [line(1, 1)])))
+    conf.set("fs.viewfs.mounttable.m.link./d", f"file://{tmp_path}")
+    assert sorted(rows(report.parse_path(spark, "viewfs://m/d", "**/*.xml"))) == ["A.cs", "B.cs"]
+    assert list(rows(report.parse_path(spark, "viewfs://m/d/b/y.xml"))) == ["B.cs"]
+    with pytest.raises(FileNotFoundError):
+        report.parse_path(spark, "viewfs://m/d/none")
+    (tmp_path / "_u.xml").write_text(document())
+    with pytest.raises(xml.XmlError, match=r"_u\.xml: The file can't be read"):
+        report.parse_path(spark, "viewfs://m/d", "**/*.xml")
+
+
+def test_encodings(spark, tmp_path):
+    codes = ("utf-16", "iso-8859-1", "utf-8-sig")
+    for code in codes:
+        head = f'<?xml version="1.0" encoding="{code.removesuffix("-sig")}"?>'
+        (tmp_path / code).write_bytes(document(cls(f"é{code}.cs", [line(1, 1)]), head=head).encode(code))
+    assert sorted(rows(report.load(spark, [str(tmp_path / c) for c in codes]))) == sorted(f"é{c}.cs" for c in codes)
+
+
+# documents of known producers, in miniature
+
+
+def test_elements_wherever_they_stand(load):
+    """Classes and roots outside the usual nesting, prefixed names, lines of classes without a file."""
+    doc = (
+        '<c:coverage xmlns:c="u"><x><c:source>/r</c:source></x><package><c:class filename="A.cs" name="A"><any><c:line number="1" hits="2"/></any></c:class></package>'
+        '<class name="none"><lines><line number="1" hits="0"/></lines><class filename="In.cs"><line number="3" hits="1"/></class></class>'
+        '<sources><source><!-- late -->/no</source><source>/late</source></sources><class filename="B.cs"><line number="1" hits="1"/></class></c:coverage>'
+    )
+    r = load(doc)
+    assert sorted(rows(r)) == ["/r/A.cs", "/r/B.cs", "/r/In.cs"] and r.roots == ("/r", "/late")
+    assert load("<coverage><class filename='A.cs'/><source>/r</source><class filename='A.cs'/></coverage>").files.count() == 2
+
+
+def test_gcovr(load):
+    """Lines under class only, one root, branches with conditions of one jump each."""
+    lines = [line(3, 12), line(4, 0), line(7, 5, "50% (1/2)", [(0, "50%")]), line(9, 5, "100% (2/2)", [(0, "100%")])]
+    f = rows(load(document(cls("src/main.cpp", lines, name="main_cpp"), roots=["/home/u/p"])))["/home/u/p/src/main.cpp"]
+    assert (f.lines_hit, f.lines_total, f.branches_hit, f.branches_total, f.strict, f.partial) == (3, 4, 3, 4, 2, 1)
+
+
+def test_coverage_py(load):
+    """Empty methods, missing-branches attributes, counts without condition detail."""
+    doc = document(cls("pkg/a.py", [line(1, 1), line(2, 1, "50% (1/2)"), line(5, 0, "0% (0/2)")], name="a.py"), roots=["/src"]).replace('condition-coverage="50%', 'missing-branches="5" condition-coverage="50%')
+    f = rows(load(doc))["/src/pkg/a.py"]
+    assert (f.lines_hit, f.lines_total, f.branches_hit, f.branches_total, f.strict) == (2, 3, 1, 4, 1)
+
+
+def test_cover2cover(load):
+    """Several roots, inner classes of one file, methods with lines of their own that the class repeats."""
+    inner = cls("org/A.java", [line(9, 0)], [method("run", [line(9, 0)], "()V")], name="org.A$1")
+    outer = cls("org/A.java", [line(3, 1), line(4, 1, "75% (3/4)")], [method("&lt;init&gt;", [line(3, 1)], "()V"), method("go", [line(4, 1)], "()V")], name="org.A")
+    r = load(document(outer, inner, roots=["src/main/java", "src/test/java"]))
+    f = rows(r)["src/main/java/org/A.java"]
+    assert (f.lines_hit, f.lines_total, f.branches_hit, f.branches_total) == (2, 3, 3, 4)
+    assert [w.kind for w in r.warning_rows] == ["FileIdentityAmbiguous"]
+
+
+def test_grcov(load):
+    """A root that means the current folder, and lines in methods and again in the class."""
+    f = rows(load(document(cls("lib.rs", [line(1, 2), line(2, 0)], [method("main", [line(1, 2)]), method("off", [line(2, 0)])]), roots=["."])))["lib.rs"]
+    assert (f.lines_hit, f.lines_total) == (1, 2)
+
+
+def test_report_generator(load):
+    """Merged output: a root that stands twice, paths with either separator, one class a part of a file."""
+    r = load(document(cls("a\\B.cs", [line(1, 0)]), cls("a/B.cs", [line(1, 3), line(2, 1, "100% (2/2)")]), roots=["/repo/", "/repo"]))
+    assert list(rows(r)) == ["/repo/a/B.cs"] and rows(r)["/repo/a/B.cs"].lines_hit == 2 and not r.warning_rows
+
+
+def test_nested_types(spark, tmp_path):
+    """Types in types, generics at any depth, members in the order they end."""
+    deep = "G&lt;" * 12 + "T" + "&gt;" * 12
+    body = (
+        f'<NamedType Name="Outer&lt;A&gt;"><Members><Property Name="int Outer.P"><Metrics><Metric Name="CyclomaticComplexity" Value="1"/></Metrics><Accessors><Method Name="int Outer.P.get"><Metrics><Metric Name="CyclomaticComplexity" Value=" +2 "/></Metrics></Method></Accessors></Property>'
+        f'</Members><Types><NamedType Name="{deep}"><Members><Method Name="void G.M(int a)"><Metrics><Metric Name="CyclomaticComplexity" Value="7"/></Metrics></Method><Method Name="void G.Bad()"><Metrics><Metric Name="CyclomaticComplexity" Value="x"/></Metrics></Method></Members></NamedType></Types></NamedType>'
+    )
+    (tmp_path / "m.xml").write_text(f'<CodeMetricsReport><Namespace Name="N"><Types>{body}</Types></Namespace></CodeMetricsReport>')
+    got = [(m.pos, m.type_name, m.member_name, m.kind, m.complexity) for m in report.parse_metrics(spark, str(tmp_path / "m.xml")).orderBy("pos").collect()]
+    assert got == [(0, "N.Outer", "get_P", "Accessor", 2), (1, "N.Outer", "P", "Property", 1), (2, "N.Outer.G", "M", "Method", 7)]
+
+
+def test_cancel(spark):
+    """A scan in a group of its own stops when another thread cancels it."""
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    with report.cancellable(spark, "slow") as cancel:
+        threading.Thread(target=lambda: (time.sleep(3), cancel()), daemon=True).start()
+        slow = spark.range(4, numPartitions=4).withColumn("x", F.pandas_udf(lambda s: (time.sleep(40), s)[1], "long")("id"))
+        began = time.monotonic()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            slow.agg(F.sum("x")).collect()
+        assert time.monotonic() - began < 30
+    assert report.parse(spark, document(cls("A.cs", [line(1, 1)]))).found == 1
+
+
+def test_switch():
+    from tessera.functions.rates import switch_change
+
+    seen = []
+    kinds = {"Added": "added", "Removed": "removed", "NewlyHit": "newly_hit", "NewlyMissed": "newly_missed"}
+    for kind, name in kinds.items():
+        switch_change(kind, **{n: (lambda n=n: seen.append(n)) for n in kinds.values()})
+        assert seen[-1] == name
+    with pytest.raises(TypeError):
+        switch_change("Added", added=list)
+
+
+def test_ingest_rejects_and_recovers(spark, tmp_path):
+    """Malformed documents are told, condition detail stays, a lost checkpoint changes nothing, old versions go."""
+    import shutil
+
+    from tessera.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    a = document(cls("A.cs", [line(1, 1, "50% (2/4)", [(0, "100%"), (1, "0%")])]))
+    b = document(cls("A.cs", [line(1, 1, "50% (2/4)", [(0, "0%"), (1, "100%")]), line(2, 0)]))
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"))
+    for name, text in (("a", a), ("bad", "<coverage><x>"), ("b", b)):
+        (tmp_path / f"in/{name}.xml").write_text(text)
+        ingest.merge_stream(*args).awaitTermination()
+    state = lambda: sorted((r.line, r.hits, r.cov, r.tot) for r in ingest.read_table(spark, args[2]).collect())
+    assert state() == [(1, 1, 4, 4), (2, 0, None, None)]
+    bad = spark.read.parquet(f"{args[2]}/rejected/*").collect()
+    assert len(bad) == 1 and bad[0].path.endswith("bad.xml") and bad[0].problem
+    shutil.rmtree(args[3])
+    ingest.merge_stream(*args).awaitTermination()
+    assert state() == [(1, 1, 4, 4), (2, 0, None, None)] and len(ingest.versions(spark, args[2])) <= ingest.KEPT
