@@ -44,18 +44,15 @@ def sums(hashes: Column) -> tuple[Column, Column]:
     return low, high
 
 
-def ends(words: Column, n: Column) -> Column:
-    """Hashes of the line's first and last words, as many as a quarter to a half of it; lines whose number
-    of words is a power of two also give those of the lines one word shorter."""
-    half = lambda m: F.pow(F.lit(2.0), F.length(F.bin(m)) - 2).cast("int")
+def ends(words: Column, n: Column, half: Column) -> Column:
+    """Hashes of the line's first and last words, half of them: a quarter to a half of the line, a power of
+    two; lines whose number of words is a power of two also give those of the lines one word shorter."""
 
-    def pair(m: Column) -> Column:
-        c = half(m)
+    def pair(c: Column) -> Column:
         return F.array(F.xxhash64(F.lit("first"), c, F.slice(words, 1, c)), F.xxhash64(F.lit("last"), c, F.slice(words, n - c + 1, c)))
 
-    doubled = (n > MIN_WORDS) & (n == half(n) * 2)
     none = F.array().cast("array<bigint>")
-    return F.when(n < MIN_WORDS, none).when(doubled, F.concat(pair(n), pair(n - 1))).otherwise(pair(n))
+    return F.when(n < MIN_WORDS, none).when((n > MIN_WORDS) & (n == half * 2), F.concat(pair(half), pair((half / 2).cast("int")))).otherwise(pair(half))
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
@@ -66,9 +63,11 @@ def row_keys(docs: DataFrame) -> DataFrame:
 def line_table(docs: DataFrame) -> DataFrame:
     """line_doc, line_row, line_at, line_key, line_ends of every line with words."""
     lines = row_keys(docs).select(*_ROW, F.posexplode(F.split("text", "\n")).alias("line_at", "line"))
-    lines = lines.withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).filter("n > 0")
+    # a test of its own: one on the words would have them taken apart twice
+    lines = lines.filter(F.col("line").rlike(WORD)).withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words"))
+    lines = lines.withColumn("half", F.pow(F.lit(2.0), F.length(F.bin("n")) - 2).cast("int"))
     key = F.unhex(F.md5(F.array_join("words", " ")))
-    return lines.select(*_ROW, "line_at", key.alias("line_key"), ends(F.col("words"), F.col("n")).alias("line_ends"))
+    return lines.select(*_ROW, "line_at", key.alias("line_key"), ends(F.col("words"), F.col("n"), F.col("half")).alias("line_ends"))
 
 
 def variants(lines: DataFrame) -> DataFrame:
