@@ -47,12 +47,10 @@ def stored_tables() -> list[tuple[SparkSession, str]]:
     return list(_made)
 
 
-def drop_stored(tables: list[tuple[SparkSession, str]] | None = None, keep: DataFrame | None = None) -> None:
-    """Deletes tables that stored() wrote (None: all) but for those that keep reads; the results that read
-    them are then gone."""
-    used = keep.inputFiles() if keep is not None else []
+def drop_stored(tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Deletes tables that stored() wrote (None: all); the results that read them are then gone."""
     for spark, path in stored_tables() if tables is None else tables:
-        if (spark, path) not in _made or any(f"/{path.rpartition('/')[2]}/" in f for f in used):
+        if (spark, path) not in _made:
             continue
         _made.remove((spark, path))
         try:

@@ -132,8 +132,8 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS) -> dict[str, np.ndarray]:
-    """A prototype for each language among the labelled rows of docs that teach (fold other than 1)."""
+def teaching(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """lang, text of the labelled rows that teach (fold other than 1), about sample of them at most."""
     known = docs.filter(docs.lang.isNotNull() & docs.text.isNotNull() & docs.doc_id.isNotNull() & (fold(docs.doc_id) != 1))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     chosen = known
@@ -141,6 +141,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS) -> dict[str, np
         share = max(sample / len(counts), LEAST)
         rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, share / n) * (1 << 30)))])
         chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rates[F.col("lang")])
+    return chosen.select("lang", "text")
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS) -> dict[str, np.ndarray]:
+    """A prototype for each language among the labelled rows of docs that teach."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -155,7 +160,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS) -> dict[str, np
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.rint(v * 2**20).astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
-    sums = chosen.select("lang", "text").mapInArrow(bundle, "lang string, v array<long>")
+    sums = teaching(docs, sample).mapInArrow(bundle, "lang string, v array<long>")
     total = sums.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     total = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     rows = total.select("lang", F.col("v.x").alias("v")).collect()
@@ -187,3 +192,23 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(*[f.name for f in fields]).mapInArrow(run, schema)
+
+
+def size_class(text: Column) -> Column:
+    """The binary logarithm of the text's number of letters, floored; NULL without a letter."""
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    return F.when(letters > 0, F.floor(F.log2(letters.cast("double"))).cast("int"))
+
+
+def score_bounds(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAMPLE, share: float = 0.01, part: float = 0.5) -> dict[int, float]:
+    """For each size class of texts, part of the score that all but a share of the teaching rows of that size
+    reach: what scores less resembles no language. Short texts score less, so every size has a bound of its own."""
+    scored = predict(teaching(docs, sample).select("text"), prototypes).filter(F.col("lang_pred") != UNKNOWN)
+    low = scored.groupBy(size_class(F.col("text")).alias("size")).agg(F.percentile_approx("score", share, 10_000).alias("low")).filter("size is not null")
+    return {r["size"]: r.low * part for r in low.collect()}
+
+
+def resembles(bounds: dict[int, float]) -> Column:
+    """Does a predicted row (text, lang_pred, score) resemble the language found for it."""
+    least = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[size_class(F.col("text"))] if bounds else F.lit(0.0)
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.coalesce(least, F.lit(0.0)))

@@ -336,3 +336,54 @@ def test_scratch_on_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.scratch(Far)
     assert isinstance(stored_tables(), list)
+
+
+PIPED = "doc_id long, text string, lang string, source string, n_chars long, near_doc string, line_doc string, _mix_size string, score string, n_lines int"
+
+
+def piped(spark, rows):
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", "x", "x", "x", 1) for i, t, lang, s in rows], PIPED)
+
+
+def test_stages_on_odd_rows(spark):
+    """Null, blank, long and repeated texts, null ids, and columns named like the operators' own; empty tables."""
+    import corpus_pipeline
+
+    talk = {"aa": "the of and with that this from have been were", "bb": "der die und das nicht über für eine haben wird"}
+    words = {k: v.split() for k, v in talk.items()}
+    rng = random.Random(4)
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, "\n".join(say(lang, 9) for _ in range(6)), lang, "st"[i % 2]) for i in range(120) for lang in [["aa", "bb"][i % 2]]]
+    junk = [(500, "xkq zzv qxj " * 40, None, "s"), (501, "qxzjv kqxzj", None, "t"), (502, "12345 !!", "aa", "s")]
+    odd = [(600, None, "aa", "s"), (601, "", None, "s"), (602, " \t\n", "bb", None), (None, rows[0][1], "aa", "s"), (None, say("bb", 80), None, None), (rows[1][0], rows[1][1], "bb", "t"), (700, say("aa", 9000), "aa", "s")]
+    docs = piped(spark, rows + junk + odd)
+    got = {name: stage(spark, docs, "") for name, stage in corpus_pipeline.STAGES}
+    for name, out in got.items():
+        assert name == "sentencepiece" or tuple(out.columns) == corpus_pipeline.COLUMNS
+        assert stage_of(name)(spark, docs.limit(0), "").count() == 0
+    kept = collections.Counter((r.doc_id, r.text) for r in got["language_id"].collect())
+    assert kept == collections.Counter((i, t) for i, t, _, _ in rows + odd if t and t.strip())
+    lined = collections.Counter(r.doc_id for r in got["line_dedup"].collect())
+    assert not {600, 601, 602} & set(lined) and lined[rows[0][0]] == 1 and lined[rows[1][0]] == 1 and lined[500] == 1
+    near = collections.Counter(r.text for r in got["minhash_near_dedup"].collect())
+    assert near[None] == 1 and near[rows[1][1]] == 1 and near[rows[0][1]] == 1
+    mixed = collections.Counter((r.doc_id, r.text) for r in got["mix_sources"].collect())
+    assert all(t and t.strip() for _, t in mixed) and max(mixed.values()) <= 4
+    assert got["sentencepiece"].count() == docs.count() and all((r.ids is None) == (r.doc_id == 600) for r in got["sentencepiece"].collect())
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert stage_of("language_id")(spark, unlabelled, "").count() == docs.count()
+
+
+def stage_of(name):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_stages_stay_readable(spark):
+    """A stage's rows can be read again after later stages ran."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    one = stage_of("line_dedup")(spark, docs, SF)
+    first = sorted(map(str, one.collect()))
+    stage_of("minhash_near_dedup")(spark, one, SF).count()
+    assert sorted(map(str, one.collect())) == first
