@@ -19,26 +19,30 @@ def slashes(path: Column) -> Column:
 
 def drive_upper(path: Column) -> Column:
     """Upper-case drive letter of x:/..."""
-    return F.when(path.rlike("^[a-z]:/"), F.concat(F.upper(F.substring(path, 1, 1)), F.regexp_replace(path, "^.", ""))).otherwise(path)
+    return F.concat(F.upper(F.regexp_extract(path, "^([a-z]):/", 1)), F.regexp_replace(path, "^[a-z](?=:/)", ""))
 
 
 def normal_root(root: Column) -> Column:
-    """The identity of a source root: '' for the current folder."""
+    """The identity of a source root: '' for the current folder; no slash at the end, but for the top's own."""
     r = slashes(F.regexp_replace(root, r"^\s+|\s+$", ""))
-    r = F.regexp_replace(r, r"^\./", "")
-    r = drive_upper(F.when(r == ".", "").otherwise(r))
-    return F.when(r.rlike("^/+$"), "/").otherwise(F.regexp_replace(r, "/+$", ""))
+    r = F.regexp_replace(F.regexp_replace(r, r"^\./", ""), r"^\.$", "")
+    return F.regexp_replace(drive_upper(r), "(?<=.)/+$", "")
 
 
 def rooted(path: Column) -> Column:
     return path.rlike("^(/|[A-Za-z]:)")
 
 
+def below_root(filename: Column, root: Column) -> Column:
+    """The path under the root, unless the name is rooted itself."""
+    name = slashes(filename)
+    below = F.when((root == "") | rooted(name), "").otherwise(F.regexp_replace(F.concat(root, F.lit("/")), "//$", "/"))
+    return F.concat(below, name)
+
+
 def file_key(filename: Column, roots: Column) -> Column:
     """The path that identifies a file: joined to the first root unless it is rooted itself."""
-    name, first = slashes(filename), F.coalesce(F.try_element_at(roots, F.lit(1)), F.lit(""))
-    joined = F.when((first == "") | rooted(name), name).when(first.endswith("/"), F.concat(first, name)).otherwise(F.concat(first, F.lit("/"), name))
-    return drive_upper(joined)
+    return drive_upper(below_root(filename, F.coalesce(F.try_element_at(roots, F.lit(1)), F.lit(""))))
 
 
 def file_name(path: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.functions.paths import file_key, normal_root
+from tessera.functions.paths import below_root, drive_upper, normal_root
 
 PATTERN = "**/coverage.cobertura.xml"
 MAX_CHARS = 50_000_000
@@ -375,26 +375,32 @@ class Scan:
     warnings: DataFrame
 
 
-def path_of() -> Column:
-    """The file key of an element's class: its file name under the first root that stood before the class."""
-    return file_key(F.col("filename"), F.array(F.coalesce(normal_root(F.col("root")), F.lit(""))))
-
-
-def line_columns() -> list[Column]:
-    at, cover = F.col, F.col("cover")
-    branch = (F.lower(at("branch")) == "true") & cover.isNotNull()
-    pair = lambda i: branch_counts(cover, i)
-    good = F.coalesce(branch & pair(1).isNotNull() & pair(2).isNotNull(), F.lit(False))
-    number = integer(at("number"), "int")
-    known = F.filter(F.transform("conds", lambda c: F.struct(integer(c["number"], "int").alias("key"), outcomes_of(c["coverage"]).alias("value"))), lambda e: e["key"].isNotNull() & e["value"].isNotNull())
-    keys = F.array_distinct(F.transform(known, lambda e: e["key"]))
-    conds = F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_max(F.transform(F.filter(known, lambda e: e["key"] == k), lambda e: e["value"]))))
-    return [
-        number.alias("line"), hits_of(at("hits")).alias("hits"), F.when(good, pair(1)).alias("raw_cov"), F.when(good, pair(2)).alias("raw_tot"),
-        F.when(good & (number >= 0) & (F.size("conds") > 0) & (F.size(known) > 0), conds).alias("conds"),
-        (at("hits").isNotNull() & integer(at("hits"), "bigint").isNull()).alias("bad_hits"), F.coalesce(branch & ~good, F.lit(False)).alias("bad_branch"),
-        at("hits").alias("hits_text"), cover.alias("cover_text"),
-    ]
+def with_path(elements: DataFrame) -> DataFrame:
+    """elements with path: the file key of their class, its file name under the first root that stood before it."""
+    rows = elements.withColumn("first", F.coalesce(normal_root(F.col("root")), F.lit("")))
+    rows = rows.withColumn("joined", below_root(F.col("filename"), F.col("first")))
+    return rows.withColumn("path", drive_upper(F.col("joined"))).drop("first", "joined")
+
+
+def line_rows(lines: DataFrame) -> DataFrame:
+    """report_ord, class_pos, line_pos, path and the numbers of line elements: line, hits, raw_cov, raw_tot,
+    conds, and what of hits and branches could not be read. Texts are parsed first, then judged."""
+    cover = F.col("cover")
+    branch = F.coalesce((F.lower("branch") == "true") & cover.isNotNull(), F.lit(False))
+    known = F.transform("conds", lambda c: F.struct(integer(c["number"], "int").alias("key"), outcomes_of(c["coverage"]).alias("value")))
+    parsed = with_path(lines).select(
+        "report_ord", "class_pos", F.col("pos").alias("line_pos"), "path", integer(F.col("number"), "int").alias("line"), hits_of(F.col("hits")).alias("hits"),
+        (F.col("hits").isNotNull() & integer(F.col("hits"), "bigint").isNull()).alias("bad_hits"), F.col("hits").alias("hits_text"), cover.alias("cover_text"),
+        branch.alias("branch"), F.when(branch, branch_counts(cover, 1)).alias("p1"), F.when(branch, branch_counts(cover, 2)).alias("p2"),
+        F.filter(F.when(F.size("conds") > 0, known), lambda e: e["key"].isNotNull() & e["value"].isNotNull()).alias("known"),
+    ).filter("line is not null")
+    good = F.col("p1").isNotNull() & F.col("p2").isNotNull()
+    keys = F.array_distinct(F.transform("known", lambda e: e["key"]))
+    conds = F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_max(F.transform(F.filter("known", lambda e: e["key"] == k), lambda e: e["value"]))))
+    return parsed.select(
+        "report_ord", "class_pos", "line_pos", "path", "line", "hits", F.when(good, F.col("p1")).alias("raw_cov"), F.when(good, F.col("p2")).alias("raw_tot"),
+        F.when(good & (F.col("line") >= 0) & (F.size("known") > 0), conds).alias("conds"), "bad_hits", (F.col("branch") & ~good).alias("bad_branch"), "hits_text", "cover_text",
+    )
 
 
 def branch_counts(cover: Column, i: int) -> Column:
@@ -404,7 +410,7 @@ def branch_counts(cover: Column, i: int) -> Column:
 
 def scan(elements: DataFrame) -> Scan:
     """elements: of parsed()."""
-    lines = elements.filter("kind = 'line'").select("report_ord", "class_pos", F.col("pos").alias("line_pos"), path_of().alias("path"), *line_columns()).filter("line is not null")
+    lines = line_rows(elements.filter("kind = 'line'"))
     roots = source_roots(elements)
     order = ["report_ord", "class_pos", "line_pos"]
     bad = [
@@ -413,15 +419,15 @@ def scan(elements: DataFrame) -> Scan:
         root_warnings(roots).select("report_ord", F.lit(-1).alias("class_pos"), F.lit(-1).alias("line_pos"), "kind", "file", "line", "detail"),
     ]
     warnings = bad[0].unionByName(bad[1]).unionByName(bad[2])
-    seen = elements.filter("kind = 'class'").groupBy("report_ord", path_of().alias("path")).agg(F.min("class_pos").alias("class_pos"))
+    seen = with_path(elements.filter("kind = 'class'")).groupBy("report_ord", "path").agg(F.min("class_pos").alias("class_pos"))
     return Scan(lines.drop("bad_hits", "bad_branch", "hits_text", "cover_text"), seen, roots, warnings)
 
 
 def scan_methods(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """method_line and method_hdr rows; lines that stand at the class only are left out."""
-    own = (path_of().alias("file"), "class", "method", "signature")
-    headers = elements.filter("kind = 'method'").select(*own, complexity_of(F.col("complexity")).alias("complexity"), F.struct("report_ord", "class_pos", F.col("pos").alias("method_pos")).alias("doc_ord"))
-    lines = elements.filter("kind = 'line' and method_pos is not null").select(*own, integer(F.col("number"), "int").alias("line"), hits_of(F.col("hits")).alias("hits"))
+    own = (F.col("path").alias("file"), "class", "method", "signature")
+    headers = with_path(elements.filter("kind = 'method'")).select(*own, complexity_of(F.col("complexity")).alias("complexity"), F.struct("report_ord", "class_pos", F.col("pos").alias("method_pos")).alias("doc_ord"))
+    lines = with_path(elements.filter("kind = 'line' and method_pos is not null")).select(*own, integer(F.col("number"), "int").alias("line"), hits_of(F.col("hits")).alias("hits"))
     return lines.filter("line is not null"), headers
 
 
