@@ -202,10 +202,16 @@ def size_class(text: Column) -> Column:
 
 def score_bounds(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAMPLE, share: float = 0.01, part: float = 0.5) -> dict[int, float]:
     """For each size class of texts, part of the score that all but a share of the teaching rows of that size
-    reach: what scores less resembles no language. Short texts score less, so every size has a bound of its own."""
+    reach: what scores less resembles no language. Short texts score less, so every size has a bound of its own;
+    sizes without teaching rows take that of the next smaller size that has some."""
     scored = predict(teaching(docs, sample).select("text"), prototypes).filter(F.col("lang_pred") != UNKNOWN)
     low = scored.groupBy(size_class(F.col("text")).alias("size")).agg(F.percentile_approx("score", share, 10_000).alias("low")).filter("size is not null")
-    return {r["size"]: r.low * part for r in low.collect()}
+    known, bounds, last = {r["size"]: r.low * part for r in low.collect()}, {}, None
+    for size in range(64):
+        last = known.get(size, last)
+        if last is not None:
+            bounds[size] = last
+    return bounds
 
 
 def resembles(bounds: dict[int, float]) -> Column:

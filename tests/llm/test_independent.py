@@ -354,6 +354,7 @@ def test_stages_on_odd_rows(spark):
     rng = random.Random(4)
     say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
     rows = [(i, "\n".join(say(lang, 9) for _ in range(6)), lang, "st"[i % 2]) for i in range(120) for lang in [["aa", "bb"][i % 2]]]
+    rows += [(1000 + i, f"{say(lang, 3)} {i}", lang, "s") for i in range(80) for lang in [["aa", "bb"][i % 2]]]
     junk = [(500, "xkq zzv qxj " * 40, None, "s"), (501, "qxzjv kqxzj", None, "t"), (502, "12345 !!", "aa", "s")]
     odd = [(600, None, "aa", "s"), (601, "", None, "s"), (602, " \t\n", "bb", None), (None, rows[0][1], "aa", "s"), (None, say("bb", 80), None, None), (rows[1][0], rows[1][1], "bb", "t"), (700, say("aa", 9000), "aa", "s")]
     docs = piped(spark, rows + junk + odd)
