@@ -216,5 +216,9 @@ def score_bounds(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int
 
 def resembles(bounds: dict[int, float]) -> Column:
     """Does a predicted row (text, lang_pred, score) resemble the language found for it."""
-    least = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[size_class(F.col("text"))] if bounds else F.lit(0.0)
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.coalesce(least, F.lit(0.0)))
+    known = F.col("lang_pred") != UNKNOWN
+    if not bounds:
+        return known
+    least = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[size_class(F.col("text"))]
+    # letters are counted only where the score alone doesn't decide
+    return known & ((F.col("score") >= max(bounds.values())) | (F.col("score") >= F.coalesce(least, F.lit(0.0))))
