@@ -1,4 +1,7 @@
-"""A build step: load, exclude, render, summarize, and fail unless the gate passes."""
+"""A build step: load, exclude, render, summarize, and fail unless the gate passes.
+
+The messages of refusals are fixed values.
+"""
 
 from __future__ import annotations
 

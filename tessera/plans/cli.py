@@ -1,4 +1,7 @@
-"""Commands: report, check, crap, diff, snapshot, version, help. Exit codes: 0 good; 1 failed, inconclusive or not run; 2 unknown."""
+"""Commands: report, check, crap, diff, snapshot, version, help. Exit codes: 0 good; 1 failed, inconclusive or not run; 2 unknown.
+
+Flags, exit codes and the messages of refusals are fixed values that scripts rely on.
+"""
 
 from __future__ import annotations
 

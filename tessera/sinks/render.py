@@ -1,4 +1,7 @@
-"""Reports, differences and risks as text tables and markdown pages."""
+"""Reports, differences and risks as text tables and markdown pages.
+
+Headings, column widths and table rules are fixed values of the output formats.
+"""
 
 from __future__ import annotations
 
