@@ -152,7 +152,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**0..n-1 and the inverses, modulo 2**64; base is odd."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         ups = [np.full(size, b, np.uint64) for b in (base, _U(pow(int(base), -1, 2**64)))]
         for up in ups:
             up[0] = 1
@@ -178,8 +178,9 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 21) -> np.ndarray:
-    """64-bit hashes of the words: a polynomial over scrambled bytes, scrambled again. Equal on every machine."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of the words: a polynomial over scrambled bytes, scrambled again. Equal on every machine,
+    whatever the block of bytes taken at once, which bounds the memory."""
     out = np.empty(len(starts), np.uint64)
     letters = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
     at = 0
@@ -196,16 +197,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
     return out
 
 
-def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of the k consecutive words from each position on; len(words)-k+1 values."""
+def gram_hashes(words: np.ndarray, k: int, seed: int = 0, block: int = 1 << 16) -> np.ndarray:
+    """64-bit hashes of the k consecutive words from each position on; len(words)-k+1 values, block by block."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(_GRAM, len(words))
-    sums = np.empty(len(words) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((words if not seed else mix64(words + _U(seed))) * up, out=sums[1:])
-    return mix64((sums[k:] - sums[:-k]) * down[:n])
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, block):
+        to = min(at + block, n)
+        part = words[at : to + k - 1]
+        up, down = powers(_GRAM, len(part))
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((part if not seed else mix64(part + _U(seed))) * up, out=sums[1:])
+        out[at:to] = mix64((sums[k:] - sums[:-k]) * down[: to - at])
+    return out
 
 
 def runs(values: np.ndarray) -> np.ndarray:

@@ -40,6 +40,8 @@ from tessera.llm.common import NULL_ID, gram_hashes, mix64, runs, set_aside, shu
 
 WINDOW, GRAM = 13, 5
 BATCH_BYTES = 6 << 20
+#: A task hands on about so many bytes at once, and cuts about so many bytes of texts at once.
+OUT_BYTES, CUT_BYTES = 1 << 20, 1 << 20
 #: All of a window's hash is sent; the digests that follow decide.
 HASH_BYTES = 8
 MOST_BUCKETS = 1 << 30
@@ -78,26 +80,38 @@ def windows(texts: pa.Array, k: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     words = word_hashes(data, starts, ends)
     if not counts.sum():
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    del starts, ends
     at = spread(first[:-1], counts)
-    text = np.repeat(np.arange(len(counts)), counts)
-    lows = sliding_min(gram_hashes(words, gram, seed=7), k - gram + 1)
-    return gram_hashes(words, k)[at], lows[at], text, (at - first[text]).astype(np.int32)
+    lows = sliding_min(gram_hashes(words, gram, seed=7), k - gram + 1)[at]
+    hashes = gram_hashes(words, k)[at]
+    del words
+    at -= np.repeat(first[:-1], counts)
+    return hashes, lows, np.repeat(np.arange(len(counts), dtype=np.int32), counts), at.astype(np.int32)
 
 
-def first_holder(hashes: np.ndarray, docs: np.ndarray, rows: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window the smallest document that holds it (of equal doc_ids the smallest row), and where it first starts there."""
+def held_before(hashes: np.ndarray, text: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """The windows that a smaller document holds too, in their order; the smallest such document, its row (of equal
+    doc_ids the smallest) and where the window first starts there. ids and keys: doc_id and row of each text."""
     order = np.argsort(hashes, kind="stable")
-    heads = runs(hashes[order])
+    # most windows are alone; only the others are looked at
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    shared = np.zeros(len(order), bool)
+    shared[1:] = same
+    shared[:-1] |= same
+    heads = np.ones(len(order), bool)
+    heads[1:] = ~same
+    order, heads = order[shared], np.flatnonzero(heads[shared])
+    if not len(order):
+        return [order, order, order, pos[:0]]
     sizes = np.diff(np.append(heads, len(order)))
+    of = text[order]
     least, lows = np.ones(len(order), bool), []
-    for x in (docs, rows, pos):
-        x = x[order]
+    for x in (ids[of], keys[of], pos[order]):
         lows.append(np.repeat(np.minimum.reduceat(np.where(least, x, np.iinfo(x.dtype).max), heads), sizes))
         least &= x == lows[-1]
-    out = [np.empty_like(x) for x in (docs, rows, pos)]
-    for x, low in zip(out, lows, strict=True):
-        x[order] = low
-    return out[0], out[1], out[2]
+    again = np.flatnonzero(lows[0] < ids[of])
+    again = again[np.argsort(order[again], kind="stable")]
+    return [order[again], *(x[again] for x in lows)]
 
 
 def pieces(docs: np.ndarray, rows: np.ndarray, pos: np.ndarray, holder: np.ndarray, held: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
@@ -110,51 +124,64 @@ def pieces(docs: np.ndarray, rows: np.ndarray, pos: np.ndarray, holder: np.ndarr
     return [docs[heads], rows[heads], pos[heads], n, holder[heads], held[heads], where[heads]]
 
 
+def _sent(buckets: int, k: int, gram: int, width: int, batch: pa.RecordBatch) -> Iterator[tuple[int, bool, bytes]]:
+    """For one batch: the pieces found in it, and by bucket the stretches of windows whose holder may be elsewhere."""
+    ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    hashes, lows, text, pos = windows(batch.column(2), k, gram)
+    if not len(hashes):
+        return
+    hashes &= np.uint64(2 ** (8 * width) - 1)
+    again, *holders = held_before(hashes, text, pos, ids, keys)
+    if len(again):
+        of = text[again]
+        yield int(ids[of[0]] % buckets), True, pack(*pieces(ids[of], keys[of], pos[again], *holders))
+    bucket = (mix64(lows) % np.uint64(buckets)).astype(np.int32)
+    del lows, holders
+    keep = np.ones(len(hashes), bool)
+    keep[again] = False
+    sent = np.flatnonzero(keep)
+    sent = sent[np.argsort(bucket[sent], kind="stable")]
+    bucket = bucket[sent]
+    cut = (bucket[1:] != bucket[:-1]) | (sent[1:] != sent[:-1] + 1) | (text[sent[1:]] != text[sent[:-1]])
+    heads = np.flatnonzero(np.concatenate(([True], cut)))
+    lengths = np.diff(np.append(heads, len(sent))).astype(np.int32)
+    parts = np.append(runs(bucket), len(sent))
+    at = np.searchsorted(heads, parts)
+    for i in range(len(parts) - 1):
+        h = sent[heads[at[i] : at[i + 1]]]
+        of = text[h]
+        meta = pack(ids[of], keys[of], pos[h], lengths[at[i] : at[i + 1]])
+        raw = hashes[sent[parts[i] : parts[i + 1]]].view(np.uint8).reshape(-1, 8)[:, :width]
+        yield int(bucket[parts[i]]), False, struct.pack("<q", len(meta)) + meta + raw.tobytes()
+
+
 def _edges(buckets: int, k: int, gram: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sub_bucket", "sub_found", "sub_blob"]
         for batch in text_batches(batches, "text", BATCH_BYTES):
-            ids = batch.column(0).to_numpy()
-            hashes, lows, text, pos = windows(batch.column(2), k, gram)
-            if not len(hashes):
-                continue
-            hashes &= np.uint64(2 ** (8 * width) - 1)
-            docs, rows = ids[text], batch.column(1).to_numpy()[text]
-            holder, held, where = first_holder(hashes, docs, rows, pos)
-            again = holder < docs
-            out: tuple[list, list, list] = ([], [], [])
-            if again.any():
-                found = pieces(*(x[again] for x in (docs, rows, pos, holder, held, where)))
-                out[0].append(int(docs[0] % buckets))
-                out[1].append(True)
-                out[2].append(pack(*found))
-            sent = np.flatnonzero(~again)
-            bucket = (mix64(lows[sent]) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[order], bucket[order]
-            cut = (bucket[1:] != bucket[:-1]) | (sent[1:] != sent[:-1] + 1) | (text[sent[1:]] != text[sent[:-1]])
-            heads = np.flatnonzero(np.concatenate(([True], cut)))
-            lengths = np.diff(np.append(heads, len(sent))).astype(np.int32)
-            raw = hashes[sent].view(np.uint8).reshape(-1, 8)[:, :width]
-            parts = np.append(runs(bucket), len(sent))
-            at = np.searchsorted(heads, parts)
-            for i in range(len(parts) - 1):
-                h = heads[at[i] : at[i + 1]]
-                meta = pack(docs[sent[h]], rows[sent[h]], pos[sent[h]], lengths[at[i] : at[i + 1]])
-                out[0].append(int(bucket[parts[i]]))
-                out[1].append(False)
-                out[2].append(struct.pack("<q", len(meta)) + meta + raw[parts[i] : parts[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], ["sub_bucket", "sub_found", "sub_blob"])
+            held, size = [], 0
+            for row in _sent(buckets, k, gram, width, batch):
+                if held and size + len(row[2]) > OUT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _SENT, strict=True)], names)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[2])
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _SENT, strict=True)], names)
 
     return run
 
 
+_SENT = (pa.int32(), pa.bool_(), pa.binary())
+
+
 def _repeats(width: int):
     """One bucket: passes found pieces on, and finds the windows that repeat between batches."""
 
     def run(table: pa.Table) -> pa.Table:
         done, stretches, raws = [], [], []
         for found, blob in zip(table.column("sub_found").to_pylist(), table.column("sub_blob"), strict=True):
-            blob = blob.as_py()
+            blob = blob.as_buffer()
             if found:
                 done.append(unpack(blob, "<i8", "<i8", "<i4", "<i4", "<i8", "<i8", "<i4"))
             else:
@@ -164,11 +191,14 @@ def _repeats(width: int):
         if raws:
             docs, rows, pos, lengths = (np.concatenate(x) for x in zip(*stretches, strict=True))
             hashes = np.zeros((int(lengths.sum()), 8), np.uint8)
-            hashes[:, :width] = np.concatenate(raws)
-            docs, rows, pos = np.repeat(docs, lengths), np.repeat(rows, lengths), spread(pos, lengths).astype(np.int32)
-            holder, held, where = first_holder(hashes.view(np.uint64)[:, 0], docs, rows, pos)
-            again = holder < docs
-            done.append(pieces(*(x[again] for x in (docs, rows, pos, holder, held, where))))
+            at = 0
+            for raw in raws:
+                hashes[at : at + len(raw), :width] = raw
+                at += len(raw)
+            text, pos = np.repeat(np.arange(len(docs), dtype=np.int32), lengths), spread(pos, lengths).astype(np.int32)
+            again, *holders = held_before(hashes.view(np.uint64)[:, 0], text, pos, docs, rows)
+            of = text[again]
+            done.append(pieces(docs[of], rows[of], pos[again], *holders))
         columns = [np.concatenate(x) for x in zip(*done, strict=True)]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["sub_doc", "sub_row", "sub_start", "sub_n", "sub_source", "sub_from", "sub_at"])
@@ -217,7 +247,7 @@ def _cut(k: int, keep_text: bool):
     """Cuts the paths' words out; gives the digests of the paths' words, and of those that others' paths start from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches, "text", CUT_BYTES):
             text, paths, asked = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "sub_paths", "sub_asked"))
             n_words, n_removed, sha, kept_text, own, served = [], [], [], [], [], []
             for t, held, wanted in zip(text, paths, asked, strict=True):

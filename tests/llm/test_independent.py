@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +256,20 @@ def test_a_hot_passage(spark):
     assert all(r.n_removed >= 60 for r in out if r.doc_id) and next(r.n_removed for r in out if not r.doc_id) == 0
 
 
+def test_memory_of_a_batch_of_windows():
+    """The windows of a batch are found in little more memory than their hashes take, and handed on piecemeal."""
+    text = prose(5, 700_000, 90_000)
+    whole = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["sub_doc", "sub_row", "text"])
+    edges = substrings._edges(50, 13, 5, 8)
+    list(edges(iter([whole.set_column(2, "text", pa.array([text[:20_000]]))])))  # tables that stay
+    tracemalloc.start()
+    sizes = [b.nbytes for b in edges(iter([whole]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) > 8 * 690_000 and max(sizes) < 2 << 20
+    assert peak < 15 * 8 * 700_000
+
+
 def test_revisits(spark):
     """A revisit names the record of its response, and is refused without it or with another payload."""
     html = "x" * 2000
