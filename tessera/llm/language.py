@@ -6,8 +6,8 @@ trigrams; a language's prototype bundles its labelled texts. A text gets the lan
 has the largest cosine with it.
 
 Scale: no shuffle but the prototypes' partial sums (a vector per task and language). Texts are counted in
-blocks of trigrams and projected by matrix products. The fit uses at most about SAMPLE labelled rows,
-chosen by a hash of the id; everything else covers all rows.
+blocks of trigrams and projected by matrix products. All teaching rows are learned from, unless fit is
+asked for a sample, and the bounds of scores come from all of them: counts by size and step of score.
 
 Defined cases: null text or text without a letter is `und` with score 0; rows with null lang or null
 doc_id don't teach; without any teaching row every text is `und`; ties go to the first language by code
@@ -21,17 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import mix64, text_batches
 
 DIMS = 1024
-#: The most labelled rows that teach, as an expected number.
-SAMPLE = 30_000
-#: Of each language at least about this many rows are kept by the sample, or all it has.
+#: Of each language at least about this many rows are kept by a sample, if one is asked for, or all it has.
 LEAST = 100
+#: Scores are counted by so many steps from 0 to 1.
+STEPS = 10_000
 UNKNOWN = "und"
 #: Texts are counted together up to so many bytes.
 BLOCK_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
@@ -100,11 +100,13 @@ def text_vectors(texts: list[str], dims: int = DIMS) -> tuple[np.ndarray, np.nda
         kinds, codes = np.unique(codes, return_inverse=True)
     base = letter_vectors(letters, dims)
     turned, twice = np.roll(base, 1, axis=1), np.roll(base, 2, axis=1)
-    for at in range(0, len(kinds), 8192):  # bounds the vectors of a block with very many trigrams
-        part = kinds[at : at + 8192]
+    for at in range(0, len(kinds), 4096):  # bounds the vectors of a block with very many trigrams
+        part = kinds[at : at + 4096]
         chosen = (codes >= at) & (codes < at + len(part))
         table = np.bincount(text[chosen] * len(part) + codes[chosen] - at, minlength=len(texts) * len(part))
-        vectors = twice[part // (n * n)] * turned[part // n % n] * base[part % n]
+        vectors = twice[part // (n * n)]
+        vectors *= turned[part // n % n]
+        vectors *= base[part % n]
         out += table.reshape(len(texts), len(part)).astype(np.float32) @ vectors
     return out, counts
 
@@ -132,9 +134,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def teaching(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """lang, text of the labelled rows that teach (fold other than 1), about sample of them at most."""
+def teaching(docs: DataFrame, sample: int | None = None) -> DataFrame:
+    """lang, text of the labelled rows that teach (fold other than 1); with sample, about so many of them at most."""
     known = docs.filter(docs.lang.isNotNull() & docs.text.isNotNull() & docs.doc_id.isNotNull() & (fold(docs.doc_id) != 1))
+    if sample is None:
+        return known.select("lang", "text")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     chosen = known
     if sum(counts.values()) > sample:
@@ -144,7 +148,7 @@ def teaching(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return chosen.select("lang", "text")
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, sample: int | None = None, dims: int = DIMS) -> dict[str, np.ndarray]:
     """A prototype for each language among the labelled rows of docs that teach."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +204,16 @@ def size_class(text: Column) -> Column:
     return F.when(letters > 0, F.floor(F.log2(letters.cast("double"))).cast("int"))
 
 
-def score_bounds(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAMPLE, share: float = 0.01, part: float = 0.5) -> dict[int, float]:
-    """For each size class of texts, part of the score that all but a share of the teaching rows of that size
-    reach: what scores less resembles no language. Short texts score less, so every size has a bound of its own;
-    sizes without teaching rows take that of the next smaller size that has some."""
-    scored = predict(teaching(docs, sample).select("text"), prototypes).filter(F.col("lang_pred") != UNKNOWN)
-    low = scored.groupBy(size_class(F.col("text")).alias("size")).agg(F.percentile_approx("score", share, 10_000).alias("low")).filter("size is not null")
+def score_bounds(docs: DataFrame, prototypes: dict[str, np.ndarray], share: float = 0.01, part: float = 0.5) -> dict[int, float]:
+    """For each size class of texts, part of the score (rounded down to a step) that all but a share of the teaching
+    rows of that size reach: what scores less resembles no language. Short texts score less, so every size has a
+    bound of its own; sizes without teaching rows take that of the next smaller size that has some."""
+    scored = predict(teaching(docs).select("text"), prototypes).filter(F.col("lang_pred") != UNKNOWN)
+    steps = scored.select(size_class(F.col("text")).alias("size"), F.floor(F.col("score") * STEPS).alias("step")).filter("size is not null").groupBy("size", "step").count()
+    of_size = Window.partitionBy("size")
+    up = of_size.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = steps.select("size", "step", F.sum("count").over(up).alias("upto"), F.sum("count").over(of_size).alias("all"))
+    low = reached.filter(F.col("upto") >= F.col("all") * share).groupBy("size").agg((F.min("step") / STEPS).alias("low"))
     known, bounds, last = {r["size"]: r.low * part for r in low.collect()}, {}, None
     for size in range(64):
         last = known.get(size, last)

@@ -181,6 +181,24 @@ def test_rare_language(spark):
     assert set(language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=4)) == {"aa", "bb"}
 
 
+def test_all_rows_teach(spark):
+    """Prototypes and bounds come from every teaching row, however many there are."""
+    noise = F.translate(F.xxhash64("id").cast("string"), "-0123456789", "abcdeabcdea")
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("the of "), F.substring(noise, 1, (F.col("id") % 17).cast("int")))).otherwise(F.lit("der die und"))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 3 == 0, "aa").otherwise("bb").alias("lang"))
+    teach = docs.filter(language.fold(F.col("doc_id")) != 1)
+    prototypes = language.fit(docs)
+    assert np.linalg.norm(prototypes["bb"]) / 2**20 == pytest.approx(teach.filter("lang = 'bb'").count(), rel=1e-3)
+    scores = {}
+    for r in language.predict(teach, prototypes).collect():
+        scores.setdefault(int(np.log2(sum(map(str.isalpha, r.text)))), []).append(r.score)
+    bounds = language.score_bounds(docs, prototypes)
+    assert len(scores) > 2
+    for size, found in scores.items():
+        low = sorted(found)[-(-len(found) // 100) - 1]
+        assert bounds[size] == pytest.approx(int(low * language.STEPS) / language.STEPS / 2, abs=1e-9)
+
+
 def test_trigram_blocks():
     texts = [prose(1, 300), "", "日本 語", "AbC abc"]
     whole = language.text_vectors(texts)[0]
